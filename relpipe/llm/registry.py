@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module of this subpackage that has query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 MODULES = {
+    "op4_pii": "pii",
+    "op6_language_id": "langid",
     "op8_simhash_near_dedup": "simhash",
     "op9_bpe": "bpe",
 }
