@@ -8,7 +8,6 @@ centroid's own members are rejected.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -90,7 +89,7 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.nda
     return centres, (x @ centres.T).argmax(axis=1)
 
 
-def fit(labelled: DataFrame, per_language: int = 1500, clusters: int = 4, slack: float = 0.35) -> Model | None:
+def fit(labelled: DataFrame, per_language: int = 1500, clusters: int = 4, slack: float = 0.25) -> Model | None:
     """Learns from rows (text, lang) with non-null lang; about `per_language` texts of each language are used, chosen by a
     hash of the text. Each language is fitted in its own task on that bounded sample. None where no row can be used.
 
@@ -170,7 +169,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(learn_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
-
-def crc_bucket(doc_id: object, modulus: int) -> int:
-    """learn_bucket for a single value, for tests."""
-    return zlib.crc32(str(doc_id).encode()) % modulus

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op4_pii": "pii",
     "op6_language_id": "langid",
+    "op7_mixing": "mixing",
     "op8_simhash_near_dedup": "simhash",
     "op9_bpe": "bpe",
 }
