@@ -15,6 +15,7 @@ MODULES = {
     "op7_mixing": "mixing",
     "op8_simhash_near_dedup": "simhash",
     "op9_bpe": "bpe",
+    "op10_quality": "quality",
 }
 
 
