@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples.
 
-Examples are a bounded sample of labelled texts. Terms are words and the stems "first four letters*"; of these, the terms
-whose chi-square with the label stands out among all candidates make up the vocabulary. Texts and examples are TF-IDF
+Examples are a bounded sample of labelled texts. Terms are words, the stems "first four letters*", and "stem*@n" for stems
+that occur at least n times, since a cosine does not see how often a lone term occurs; of these, the terms whose
+chi-square with the label stands out among all candidates make up the vocabulary. Texts and examples are TF-IDF
 vectors over it. The k examples of greatest cosine are found exactly with a block-max inverted index: examples lie in
 blocks, each term keeps its greatest weight in each block, and blocks are visited by falling upper bound until no bound
 exceeds the k-th best cosine. Votes are weighted by cosine, shrunk to the labels' base rate, and calibrated by a logistic
@@ -25,17 +26,22 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, learn_bucket, materialize, table
 
 STEM = 4
+#: Numbers of occurrences from which on a stem gives another term.
+LEVELS = (2, 4)
+#: The power of the cosine that weighs a vote.
+SHARP = 6
 WORD = regex.compile(r"\p{L}+")
 
 
 def terms(text: str | None) -> Counter:
     """Counts of the terms of a whole text."""
     words = Counter(WORD.findall((text or "").lower()))
-    found = Counter(words)
+    stems: Counter = Counter()
     for w, n in words.items():
         if len(w) > STEM:
-            found[f"{w[:STEM]}*"] += n
-    return found
+            stems[f"{w[:STEM]}*"] += n
+    often = {f"{s}@{level}": 1 for s, n in stems.items() if n >= LEVELS[0] for level in LEVELS if n >= level}
+    return words + stems + Counter(often)
 
 
 class BlockMaxIndex:
@@ -88,30 +94,45 @@ class Model:
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     """Of each example: what its class weighs among all labels over what it weighs in the sample."""
+    stems: dict[str, int] = field(default_factory=dict)
+    levels: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     slope: float = 1.0
     shift: float = 0.0
     k: int = 15
 
+    def __post_init__(self):
+        """Numbers of stems and of their levels; a stem that is not in the vocabulary but whose level is gets weight 0."""
+        for term in [t for t in self.vocabulary if "@" in t]:
+            self.vocabulary.setdefault(term.split("@")[0], len(self.vocabulary))
+        self.idf = np.concatenate([self.idf, np.zeros(len(self.vocabulary) - len(self.idf))])
+        self.stems = {t[:-1]: i for t, i in self.vocabulary.items() if t.endswith("*")}
+        for term, i in self.vocabulary.items():
+            if "@" in term:
+                stem, level = term.split("@")
+                self.levels.setdefault(self.vocabulary[stem], []).append((int(level), i))
+
     def vector(self, text: str | None) -> dict[int, float]:
         if not self.vocabulary:
             return {}
-        found = {}
-        words = Counter(WORD.findall((text or "").lower()))
-        get = self.vocabulary.get
-        for w, n in words.items():
-            if (t := get(w)) is not None:
-                found[t] = found.get(t, 0) + n
-            if len(w) > STEM and (t := get(f"{w[:STEM]}*")) is not None:
+        found: dict[int, int] = {}
+        for w, n in Counter(WORD.findall((text or "").lower())).items():
+            if (t := self.vocabulary.get(w)) is not None:
+                found[t] = n
+            if len(w) > STEM and (t := self.stems.get(w[:STEM])) is not None:
                 found[t] = found.get(t, 0) + n
-        found = {t: (1 + math.log(n)) * self.idf[t] for t, n in found.items()}
+        for t in [t for t in found if t in self.levels]:
+            for level, i in self.levels[t]:
+                if found[t] >= level:
+                    found[i] = 1
+        found = {t: (1 + math.log(n)) * self.idf[t] for t, n in found.items() if self.idf[t]}
         norm = math.sqrt(sum(v * v for v in found.values()))
         return {t: v / norm for t, v in found.items()} if norm else {}
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Log odds of the distance-weighted share of toxic examples, shrunk to the base rate."""
         rest = 0.05
-        up = rest * self.base + sum(c * c * self.weight[-i] for c, i in near if self.toxic[-i])
-        down = rest * (1 - self.base) + sum(c * c * self.weight[-i] for c, i in near if not self.toxic[-i])
+        up = rest * self.base + sum(c**SHARP * self.weight[-i] for c, i in near if self.toxic[-i])
+        down = rest * (1 - self.base) + sum(c**SHARP * self.weight[-i] for c, i in near if not self.toxic[-i])
         return math.log(up / down)
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
@@ -178,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     # examples with the same strongest term lie together, so that blocks have tight bounds
     rows = sorted(rows, key=lambda r: (r.terms[int(np.argmax(r.weights))] if r.terms else len(vocabulary), r.doc_id))
     known_vectors = [dict(zip(r.terms, r.weights, strict=True)) for r in rows]
-    model.index = BlockMaxIndex(known_vectors, len(vocabulary))
+    model.index = BlockMaxIndex(known_vectors, len(model.vocabulary))
     model.ids = [r.doc_id for r in rows]
     model.toxic = np.array([r.label == 1 for r in rows])
     total = sizes[0] + sizes[1]
