@@ -12,6 +12,7 @@ MODULES = {
     "op2_toxicity": "toxicity",
     "op3_order_minhash": "orderminhash",
     "op4_pii": "pii",
+    "op5_url_filters": "urlfilter",
     "op6_language_id": "langid",
     "op7_mixing": "mixing",
     "op8_simhash_near_dedup": "simhash",
