@@ -115,17 +115,22 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, window: i
     left, right = words(F.col("before")), words(F.col("after"))
     near = near.select("entity", F.array_distinct(F.concat(F.reverse(F.slice(F.reverse(left), 1, window)), F.slice(right, 1, window))).alias("terms"))
     near = near.distinct()  # one row per entity and distinct window
-    pairs = near.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("windows")).filter(F.col("windows") >= support)
-    pairs = materialize(pairs)
+    each = near.select("entity", F.explode("terms").alias("term"))
+    pairs = each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("windows")).filter(F.col("windows") >= support)
+    n = docs.count()
+    holders = found.select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # a disclosure of `generalise` needs n_term <= windows * (n / n_entity) ** (1 - generalise). The documents with base
+    # spans that have the term are some of n_term already, so this drops no term that could reach it
+    own = found.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
+    pairs = pairs.join(holders, "entity").join(own, "term").filter(F.col("n_least") <= F.col("windows") * F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1 - generalise)) * 1.000001)
+    pairs = materialize(pairs.select("entity", "term", "windows", "n_entity"))
     terms = pairs.select("term").distinct()
     few = pairs.count()
     if few == 0:
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
     every = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))).alias("term"))
     frequency = every.join(F.broadcast(terms) if few <= 50_000 else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n = docs.count()
-    holders = found.select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    rated = pairs.join(frequency, "term").join(holders, "entity")
+    rated = pairs.join(frequency, "term")
     # distinct windows stand for documents, so p(e, t) and p(e) are both over windows of the entity
     joint = F.least(F.col("windows"), F.col("n_term"), F.col("n_entity"))
     ic = F.greatest(-F.log(F.col("n_entity") / n), F.lit(1e-9))
