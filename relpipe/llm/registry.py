@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module of this subpackage that has query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 MODULES = {
+    "op1_embedding_near_dedup": "vectordedup",
     "op2_toxicity": "toxicity",
     "op3_order_minhash": "orderminhash",
     "op4_pii": "pii",
