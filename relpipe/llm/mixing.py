@@ -71,7 +71,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float], default_weight: float
     rows = rows.withColumn(copy, drawn).filter(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
     rows = rows.withColumn(order, F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy).cast("string")).cast("binary")))
     rows = rows.repartition(order).sortWithinPartitions(order)
-    extra = [F.col(copy).alias(copy_col)] * bool(copy_col) + [F.col(order).alias(order_col)] * bool(order_col)
+    extra = [F.col(c).alias(name) for c, name in ((copy, copy_col), (order, order_col)) if name]
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *extra)
 
 
