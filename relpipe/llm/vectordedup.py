@@ -248,8 +248,10 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     if pairs is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audit_recall"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = nodes.select(F.col("node").alias("b"), "copies")
-    links = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "node")
+    # a neighbour counts once, and its copies besides; few nodes have copies, so pairs are not joined with all nodes
+    several = nodes.filter("copies > 1").select(F.col("node").alias("b"), (F.col("copies") - 1).alias("others"))
+    counted = both.groupBy("a").agg(F.count(F.lit(1)).alias("others")).unionByName(both.join(several, "b").groupBy("a").agg(F.sum("others").alias("others")))
+    links = counted.groupBy("a").agg(F.sum("others").alias("others")).withColumnRenamed("a", "node")
     of = components(pairs).withColumnRenamed("id", "node")
     placed = nodes.join(of, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
