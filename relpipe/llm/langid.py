@@ -46,12 +46,13 @@ def counts(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     codes = letter_table()[np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")]
-    blank = codes == SPACE
-    if blank.all():
+    if (codes == SPACE).all():
         return None
+    codes = np.concatenate([[SPACE], codes, [SPACE]]).astype(np.uint32)
+    blank = codes == SPACE
     keep = np.ones(len(codes), dtype=bool)
     keep[1:] = ~(blank[1:] & blank[:-1])
-    codes = np.concatenate([[SPACE], codes[keep], [SPACE]]).astype(np.uint32)
+    codes = codes[keep]
     total = np.zeros(DIM, dtype=np.int64)
     for i in range(0, len(codes), CHUNK):
         c = codes[max(0, i - 2) : i + CHUNK]
@@ -112,7 +113,7 @@ def fit(labelled: DataFrame, per_language: int = 1500, clusters: int = 4, slack:
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [c for c in map(counts, pdf.text) if c is not None]
         if not rows:
-            return pd.DataFrame({"lang": [], "centre": [], "low": []})
+            return pd.DataFrame({"lang": [], "centre": [], "low": []}, dtype=object)
         x = vectors(rows, idf)
         centres, of = _cluster(x, clusters)
         own = (x * centres[of]).sum(axis=1)

@@ -39,7 +39,7 @@ def with_codes(df: DataFrame, text: str, out: str, keep: int = 2) -> DataFrame:
     t = F.trim(F.col(text))
     words = F.split(t, r"\s+")
     df = df.withColumn(tokens, F.when(t.rlike(r"\S"), words).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn(tokens, F.when(F.length(t) > LONG_WORDS * F.size(tokens), F.split(t, "")).otherwise(F.col(tokens)))
+    df = df.withColumn(tokens, F.when((F.size(tokens) > 0) & (F.length(t) > LONG_WORDS * F.size(tokens)), F.split(t, "")).otherwise(F.col(tokens)))
     df = df.withColumn(hashes, F.transform(F.col(tokens), lambda w: F.xxhash64(w)))
     h = F.col(hashes)
     runs = F.transform(F.sequence(F.lit(0), F.size(h) - WORDS), lambda i: F.xxhash64(*[h[i + j] for j in range(WORDS)]))

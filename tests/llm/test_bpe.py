@@ -1,0 +1,59 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from relpipe.llm import bpe
+
+from .support import documents, odd_texts
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(bpe.default_path())
+
+
+def ids(codec, text):
+    return np.frombuffer(codec.encode(text), "<u4").tolist()
+
+
+def test_encoding_and_decoding_equal_the_library(library):
+    codec = bpe.codec(bpe.default_path())
+    rng = random.Random(2)
+    pieces = ["<|endoftext|>", " the", "'s", "    ", "aaaaaaaaaaaa", "=======", "!!!!", "\n\n", "é", "漢字", "🙂‍", "́", "\x00", "՘", "࢏", "\U000323b0", "١٢", "ß"]
+    texts = [t or "" for t in odd_texts()] + ["".join(rng.choice(pieces) if rng.random() < 0.3 else rng.choice("abcdefgh etaoin.,'\n\t0123ABC_-") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    for text in texts:
+        wanted = library.encode(text, add_special_tokens=False).ids
+        assert ids(codec, text) == wanted, text
+        assert codec.decode(codec.encode(text)) == library.decode(wanted, skip_special_tokens=False)
+
+
+def test_every_letter_class_is_cut_as_the_library_cuts(library):
+    codec = bpe.codec(bpe.default_path())
+    for c in [*range(0x250, 0x30000, 7), *range(0x32300, 0x33500, 11)]:
+        if not 0xD800 <= c < 0xE000:
+            text = f"a{chr(c)}1{chr(c)}! {chr(c)}"
+            assert codec.split(text) == [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)], hex(c)
+
+
+def test_small_memories_change_nothing(monkeypatch, library):
+    monkeypatch.setattr(bpe, "PIECES", 3)
+    monkeypatch.setattr(bpe, "PAIRS", 3)
+    codec = bpe.Codec(bpe.default_path())
+    text = "several words that do not fit, several words"
+    assert ids(codec, text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_columns(spark, library):
+    docs = documents(spark, odd_texts(), extra=True)
+    path = bpe.default_path()
+    back = bpe.bpe_decode(bpe.bpe_encode(docs, path), path).collect()
+    assert all(r.decoded == (r.text or "") for r in back)
+    for r in bpe.bpe_digest(docs, path).collect():
+        wanted = library.encode(odd_texts()[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.n_tokens == len(wanted)
+        assert r.ids_sha256 == hashlib.sha256(np.array(wanted, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((odd_texts()[r.doc_id] or "").encode()).hexdigest()
+    assert bpe.bpe_digest(docs.limit(0), path).count() == 0

@@ -1,0 +1,128 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from relpipe.llm import pii
+
+from .support import documents, odd_texts, words
+
+PATTERNS = (
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")),
+)
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def brute(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS):
+        for m in pattern.finditer(text or ""):
+            s = m.group()
+            digits = re.sub("[^0-9]", "", s)
+            good = {"email": True, "ip": k == 1 and all(int(p) <= 255 for p in s.split(".")), "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((m.start(), k, m.end(), kind))
+    return sorted(out)
+
+
+def joined(spans):
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in spans)
+
+
+CASES = [
+    "a@b.c%d@e.f", "x@y", "a.b+c@d-e.f.g. next", "@a.b", "a@b.c@d.e", "é@b.c a@é.c", "a@b..c", "1.2.3.4.5.6.7.8", "1.2.3.256 255.255.255.255", "001.02.3.4 0.0.0.0 1.2.3", "12.34.56.78.9",
+    "4111 1111 1111 1111", "4111-1111-1111-1111 5", "4111  111111111111", "41111111111111111", "0000000000000000", "4111111111111111-", "+1 (386) 555-3733", "+1(386)5553733)", "+49 30 123", "++1 234 567 8901",
+    "+1234567890123456", "🙂 a@b.c 🙂 1.2.3.4", "+1 4111 1111 1111 1111", "4111 1111 1111 1111 4111 1111 1111 1111", "79927398713 79927398713000",
+]
+
+
+def spans_of(spark, texts):
+    df = pii.with_base_spans(documents(spark, texts, extra=True), "text", "spans")
+    return {r.doc_id: [(s.start, s.kind, s.end, pii.KINDS[s.kind]) for s in r.spans] for r in df.select("doc_id", "spans").collect()}
+
+
+def test_base_spans_equal_the_plain_patterns(spark):
+    rng = random.Random(4)
+    parts = ["a@b.c", "@", ".", "-", " ", "1", "23", "255", "4111111111111111", "+1", "(", ")", "x.y", "%", "é", "🙂", "4111 1111", "\n"]
+    texts = CASES + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(800)] + odd_texts()
+    found = spans_of(spark, texts)
+    for i, text in enumerate(texts):
+        assert found[i] == brute(text), text
+
+
+def test_long_runs_take_no_recursion_and_little_time(spark):
+    texts = ["1 " * 60_000, "1" * 100_000, "a" * 100_000 + "@", "a." * 50_000 + "@b" + ".c" * 50_000, "+" + "1 " * 50_000, "1." * 50_000, "x@y.z " * 5_000, "@" * 50_000]
+    found = spans_of(spark, texts)
+    for i in (0, 1, 2, 4, 6):
+        assert found[i] == brute(texts[i])
+
+
+def corpus(spark):
+    rng = random.Random(6)
+    common = words(rng, 12).split()
+    texts = []
+    for i in range(60):
+        filler = " ".join(rng.choice(common) for _ in range(30))
+        if i % 10 == 0:
+            texts.append(f"{filler} the famous Zorblatt{rng.choice(['', ','])} {rng.choice(common)} zed@corp.example {rng.choice(common)} also {filler}")
+        elif i % 10 == 1:
+            texts.append(f"{filler} ann{i}@other.example {filler}")
+        else:
+            texts.append(filler)
+    return texts
+
+
+def test_terms_that_reveal_an_entity(spark):
+    texts = corpus(spark)
+    rows = pii.find_personal_data(documents(spark, texts), keep_text=True).collect()
+    for r in rows:
+        marked = {texts[r.row.doc_id][s.start : s.end].lower() for s in r.terms}
+        if r.row.doc_id % 10 == 0:
+            assert "zorblatt" in marked and "famous" in marked
+        else:
+            assert not marked  # one document of an entity is no evidence, and common terms reveal nothing
+    clean = {r.doc_id: r.text for r in pii.sanitise(documents(spark, texts)).collect()}
+    assert all("@" not in t and "Zorblatt" not in t for t in clean.values())
+    assert "[EMAIL]" in clean[0] and clean[2] == texts[2]
+
+
+def test_copies_of_one_text_are_no_evidence(spark):
+    rng = random.Random(8)
+    text = f"{words(rng, 20)} unusual boss@corp.example {words(rng, 20)}"
+    docs = documents(spark, [text] * 30 + [words(rng, 20) for _ in range(30)])
+    assert all(not r.terms for r in pii.find_personal_data(docs).collect())
+
+
+def test_sanitise_replaces_spans_and_keeps_other_texts(spark):
+    assert [k for *_, k in brute("x +30569309025904 y")] == ["phone", "card"]  # overlapping: the span that starts first is replaced
+    texts = ["mail a@b.c or +1 (386) 555-3733!", None, "", "nothing here", "x +30569309025904 y", "1.2.3.4", "🙂 1.2.3.4 é"]
+    docs = documents(spark, texts, extra=True).withColumn("n_chars", F.length("text").cast("long"))
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns
+    found = {r.doc_id: r for r in out.collect()}
+    assert [found[i].text for i in range(7)] == ["mail [EMAIL] or [PHONE]!", None, "", "nothing here", "x [PHONE] y", "[IP]", "🙂 [IP] é"]
+    assert found[0].n_chars == len(found[0].text) and found[3].n_chars == 12 and found[1].n_chars is None
+    assert pii.sanitise(docs.limit(0)).count() == 0
+
+
+def test_query_on_the_small_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = pii.query(spark, sf).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        spans = brute(docs[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(joined(spans).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[1] == k for s in spans) for k in range(4))
+        assert set(filter(None, joined(spans).split(","))) <= set(r.spans.split(","))

@@ -1,0 +1,76 @@
+import datetime as dt
+
+import pytest
+
+from relpipe.llm import urlfilter as uf
+
+D = dt.date
+
+
+def captures(spark, rows):
+    return spark.createDataFrame([(*r, "h", "h", "h") for r in rows], "page_id bigint, url string, fetched_at date, host string, key string, period string")
+
+
+def lists(spark, rows):
+    return spark.createDataFrame(rows, "list string, scope string, key string, action string, listed_at date")
+
+
+ENTRIES = [
+    ("a", "host", "x.example.com", "block", D(2024, 1, 10)),
+    ("a", "host", "x.example.com", "allow", D(2024, 2, 10)),
+    ("a", "host", "x.example.com", "remove", D(2024, 3, 10)),
+    ("a", "host", "x.example.com", "block", D(2025, 3, 10)),
+    ("b", "domain", "example.com", "block", D(2024, 3, 1)),
+    ("c", "prefix", "x.example.com/Docs", "allow", D(2024, 3, 1)),
+    ("c", "host", "tie.org", "allow", D(2024, 1, 1)),
+    ("d", "host", "tie.org", "block", D(2024, 1, 1)),
+    ("d", "host", "tie.org", "remove", D(2024, 1, 1)),
+    ("d", "host", "tie.org", "block", D(2024, 1, 1)),
+]
+
+
+def verdicts(spark, rows, entries=ENTRIES, **more):
+    found = uf.filter_urls(captures(spark, rows), lists(spark, entries), **more).collect()
+    return {r.page_id: (r.verdict, r.list, r.list_key) for r in found}
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_entries_hold_from_their_date_to_the_next(spark, broadcast_rows):
+    url = "https://x.example.com/a"
+    rows = [(1, url, D(2024, 1, 9)), (2, url, D(2024, 1, 10)), (3, url, D(2024, 2, 9)), (4, url, D(2024, 2, 10)), (5, url, D(2024, 3, 9)), (6, url, D(2024, 3, 10)), (7, url, D(2026, 1, 1))]
+    host = ("a", "x.example.com")
+    assert verdicts(spark, rows, broadcast_rows=broadcast_rows) == {1: ("unlisted", None, None), 2: ("blocked", *host), 3: ("blocked", *host), 4: ("allowed", *host), 5: ("allowed", *host), 6: ("blocked", "b", "example.com"), 7: ("blocked", *host)}
+
+
+def test_the_most_specific_entry_decides_and_blocking_wins(spark):
+    day = D(2024, 6, 1)
+    rows = [(1, "http://x.example.com/docs/p?q#f", day), (2, "http://X.EXAMPLE.com./DOCS", day), (3, "http://x.example.com/doc", day), (4, "http://u:p@tie.org:8080", day), (5, "http://y.tie.org/", day), (6, "http://deep.y.example.com/", day)]
+    assert verdicts(spark, rows) == {1: ("allowed", "c", "x.example.com/docs"), 2: ("allowed", "c", "x.example.com/docs"), 3: ("blocked", "b", "example.com"), 4: ("blocked", "d", "tie.org"), 5: ("unlisted", None, None), 6: ("blocked", "b", "example.com")}
+
+
+def test_odd_captures(spark):
+    day = D(2024, 6, 1)
+    rows = [(1, None, day), (2, "", day), (3, "no url", day), (4, "http:///path", day), (5, "http://x.example.com/", None), (None, "http://tie.org/", day), (7, "http://tie.org/" + "a/" * 5000, day), (7, "http://tie.org/" + "a/" * 5000, day)]
+    found = uf.filter_urls(captures(spark, rows), lists(spark, ENTRIES)).collect()
+    assert len(found) == len(rows)
+    assert {r.page_id: r.verdict for r in found} == {1: "invalid", 2: "invalid", 3: "invalid", 4: "invalid", 5: "unlisted", None: "blocked", 7: "blocked"}
+    assert uf.filter_urls(captures(spark, rows).limit(0), lists(spark, ENTRIES)).count() == 0
+    assert set(verdicts(spark, rows[:6], [])) == {1, 2, 3, 4, 5, None}
+
+
+@pytest.mark.parametrize("entry", [("a", "host", None, "block", D(2024, 1, 1)), ("a", "net", "x", "block", D(2024, 1, 1)), ("a", "host", "x", "ban", D(2024, 1, 1)), ("a", "host", "x", "block", None), ("a", "prefix", "x" + "/y" * 9, "block", D(2024, 1, 1))])
+def test_wrong_entries_are_refused(spark, entry):
+    with pytest.raises(Exception, match="not valid"):
+        verdicts(spark, [(1, "http://x/", D(2024, 1, 1))], [*ENTRIES, entry])
+
+
+def test_against_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf}/pages.parquet')")
+    result = con.sql(uf.ORACLE_SQL)
+    rows = uf.query(spark, sf).select(*result.columns).collect()
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, result.fetchall()))
+    assert {"blocked", "allowed", "unlisted"} <= {r.verdict for r in rows}
