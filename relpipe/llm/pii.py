@@ -162,7 +162,9 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", carry: tuple[str
     hit = hit.withColumn("terms", F.transform("terms", lambda s: F.struct(s.start, s.kind, s.end, F.when(F.element_at(F.col("words"), F.lower(s.value)) >= remove, F.lit("")).otherwise(F.lit("[TERM]")).alias("value"))).cast(SPANS))
     outside = lambda s: ~F.exists(F.col("base"), lambda b: (s.start < b.end) & (b.start < s.end))
     marks = hit.select(F.col("key").alias("k"), F.filter("terms", outside).alias("terms"))
-    return scanned.join(marks, scanned.key == marks.k, "left").select("row", "base", F.coalesce("terms", F.array().cast(SPANS)).alias("terms"), "text")
+    # only documents with base spans have a key; the others must not meet in the join as one null key
+    marked = found.join(marks, found.key == marks.k, "left").select("row", "base", F.coalesce("terms", F.array().cast(SPANS)).alias("terms"), "text")
+    return scanned.filter(F.size("base") == 0).select("row", "base", F.array().cast(SPANS).alias("terms"), "text").unionByName(marked)
 
 
 def _joined(spans: Column) -> Column:
