@@ -66,19 +66,21 @@ def bounded_sample(df: DataFrame, by: str, bound: int, *key: str) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (id, component) per node, component the smallest id.
 
-    Alternates large-star and small-star steps. Each is a partial aggregate and a join, so a hub's edges are never
-    gathered in one task (adaptive execution splits a hub's side of the join). Every round is written to the shared folder.
+    Alternates large-star and small-star steps, each an aggregate that is combined before its shuffle, and a join. The
+    aggregates are written to the shared folder before they are joined: then both sides of a join are plain exchanges, and
+    adaptive execution can split those of a hub, whose edges never gather in one task.
     """
     state = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(max_rounds):
-        both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        state = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = state.groupBy("a").agg(F.min("b").alias("m"))
-        star = low.select("a", F.col("m").alias("b"))
+        # large star: a is the larger end, so the least neighbour of b is among the edges whose larger end is b
+        low = materialize(state.groupBy("a").agg(F.min("b").alias("m")))
+        above = low.select(F.col("a").alias("b"), "m")
+        state = materialize(state.join(above, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct())
+        # small star: the lesser neighbours of a, and a itself, go to the least of them
+        low = materialize(state.groupBy("a").agg(F.min("b").alias("m")))
         rest = state.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        state = materialize(star.unionByName(rest).distinct())
+        state = materialize(low.withColumnRenamed("m", "b").unionByName(rest).distinct())
         now = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if before == (now.n, now.h):
             break
