@@ -20,14 +20,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Folders that this process has written to the shared one.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: lineage ends there, and lost executors cost nothing."""
+    """Writes df as Parquet to the shared folder and reads it again: lineage ends there, and lost executors cost nothing.
+
+    The folder stays until forget(), since lazy results read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/relpipe-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Deletes what materialize() wrote; call it when results have been written or collected."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def unique_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have, so that extra columns of any name may pass through."""
     taken = {c.lower() for c in df.columns}
@@ -52,15 +67,11 @@ def bounded_sample(df: DataFrame, by: str, bound: int, *key: str) -> DataFrame:
 
     Group sizes are counted over all rows; the sample needs no sort and no group in one task.
     """
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
-    rows = [(r[0], int(r[1])) for r in sizes.limit(10_000).collect()]  # label values, not documents
-    keep = F.lit(False)
-    for value, n in rows:
-        if n <= bound:
-            keep = F.when(F.col(by).eqNullSafe(F.lit(value)), True).otherwise(keep)
-        else:
-            keep = F.when(F.col(by).eqNullSafe(F.lit(value)), hash_fraction(*[F.col(k) for k in key]) < F.lit(bound / n)).otherwise(keep)
-    return df.filter(keep)
+    value, n = unique_name(df, "value"), unique_name(df, "n")
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias(n)).withColumnRenamed(by, value)
+    sizes = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
+    keep = (F.col(n) <= bound) | (hash_fraction(*[F.col(k) for k in key]) < F.lit(float(bound)) / F.col(n))
+    return df.join(sizes, df[by].eqNullSafe(F.col(value))).filter(keep).select(*df.columns)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -1,0 +1,93 @@
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+from relpipe.llm import bpe, langid, mixing, simhash  # noqa: E402
+
+from .support import documents, odd_texts, words  # noqa: E402
+from .test_langid import ALPHABETS  # noqa: E402
+from .test_mixing import brute_count  # noqa: E402
+from .test_pii import brute as spans_of  # noqa: E402
+from .test_simhash import brute_components  # noqa: E402
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    rng = random.Random(9)
+    langs = [list(ALPHABETS)[i % 3] for i in range(90)]
+    texts = [words(rng, rng.randint(20, 60), ALPHABETS[lang]) for lang in langs]
+    for i in range(0, 90, 9):
+        texts[i] += f" ann{i}@mail.example 10.0.0.{i} {words(rng, 5, ALPHABETS[langs[i]])}"
+    texts += [texts[3], texts[4] + "", texts[7].upper(), *odd_texts()]
+    langs += [langs[3], langs[4], langs[7]] + ["en"] * len(odd_texts())
+    path = str(tmp_path_factory.mktemp("tables"))
+    documents(spark, texts, langs=langs, sources=[f"src{i % 4}" if i % 3 else "src0" for i in range(len(texts))]).write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def brute(spark, path):
+    """The pipeline's rows by plain Python over all documents; only the language model itself is the operator's."""
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    model = langid.learned(docs)
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+
+    def known(text):
+        c = langid.counts(text)
+        if c is None:
+            return False
+        v = np.log1p(c) * model.idf
+        cosines = model.centroids @ (v / np.linalg.norm(v)).astype(np.float32)
+        return cosines.max() >= model.floor[cosines.argmax()]
+
+    rows = [r for r in rows if known(r.text)]
+    fps = {r.doc_id: simhash.fingerprint(r.text) for r in rows}
+    classes = brute_components(sorted(set(fps.values())))
+    first = {}
+    for r in rows:
+        first.setdefault(classes[fps[r.doc_id]], r.doc_id)
+    rows = [r for r in rows if first[classes[fps[r.doc_id]]] == r.doc_id]
+    clean = {}
+    for r in rows:
+        out, at = "", 0
+        for a, _, b, kind in spans_of(r.text):
+            if a >= at:
+                out += r.text[at:a] + f"[{kind.upper()}]"
+            at = max(at, b)
+        clean[r.doc_id] = out + r.text[at:]
+    sizes = Counter(r.source for r in rows)
+    total = sum(mixing.WEIGHTS[s] for s in sizes)
+    library = Tokenizer.from_file(bpe.default_path())
+    found = Counter()
+    for r in rows:
+        ids = library.encode(clean[r.doc_id], add_special_tokens=False).ids
+        digest = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        n = brute_count(r.doc_id, mixing.WEIGHTS[r.source] / total * len(rows) / sizes[r.source])
+        if n:
+            found[(r.doc_id, len(ids), digest, hashlib.sha256(clean[r.doc_id].encode()).hexdigest())] = n
+    return found
+
+
+def test_run_equals_brute_force(spark, folder):
+    found = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, folder).collect())
+    assert found == brute(spark, folder)
+
+
+def test_stages_keep_the_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        assert dict(out.dtypes) == dict(docs.dtypes), name
+    assert corpus_pipeline.STAGES[2][1](spark, docs, folder).count() == n
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == n
+
+
+def test_empty_documents(spark, tmp_path):
+    documents(spark, ["x"]).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
