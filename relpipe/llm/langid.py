@@ -2,8 +2,8 @@
 
 A text becomes a normalised TF-IDF vector of hashed letter n-grams (one to three letters, with word ends). For each
 language several centroids are clustered (spherical k-means) on a bounded sample of labelled texts. A text gets the
-language of the centroid with the greatest cosine; texts farther from every centroid than the distance allowed to that
-centroid's own members are rejected.
+language of the centroid with the greatest cosine; texts farther from their centroid than its language's own texts can be are
+rejected.
 """
 
 from __future__ import annotations
@@ -94,7 +94,8 @@ def fit(labelled: DataFrame, per_language: int = 1500, clusters: int = 4, slack:
     """Learns from rows (text, lang) with non-null lang; about `per_language` texts of each language are used, chosen by a
     hash of the text. Each language is fitted in its own task on that bounded sample. None where no row can be used.
 
-    A centroid rejects texts whose cosine is under `slack` times the least that its own sample has, short texts included.
+    A centroid rejects texts whose cosine is under `slack` times the least cosine between a text of its language's sample,
+    short ones included, and that text's centroid.
     """
     usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     sample = materialize(bounded_sample(usable, "lang", per_language, "text"))
@@ -117,8 +118,7 @@ def fit(labelled: DataFrame, per_language: int = 1500, clusters: int = 4, slack:
         x = vectors(rows, idf)
         centres, of = _cluster(x, clusters)
         own = (x * centres[of]).sum(axis=1)
-        low = [float(own[of == j].min()) if (of == j).any() else 1.0 for j in range(len(centres))]
-        return pd.DataFrame({"lang": [pdf.lang.iloc[0]] * len(centres), "centre": [c.astype(float) for c in centres], "low": low})
+        return pd.DataFrame({"lang": [pdf.lang.iloc[0]] * len(centres), "centre": [c.astype(float) for c in centres], "low": float(own.min())})
 
     found = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, centre array<double>, low double").collect(), key=lambda r: (r.lang, list(r.centre)))
     return Model([r.lang for r in found], np.array([r.centre for r in found], dtype=np.float32), idf, slack * np.array([r.low for r in found]))
