@@ -109,6 +109,24 @@ def search(x: np.ndarray, starts: np.ndarray, links: np.ndarray, queries: np.nda
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (least node of the class, node) that join just what the pairs (a, b) join."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[far]], nodes[far]
+
+
 def _stack(column: pd.Series, dtype=np.float32) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=dtype) for v in column])
 
@@ -158,12 +176,9 @@ def build_graph(members: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.collect_set("b").alias("links")).withColumnRenamed("a", "node")
 
 
-def near_pairs(nodes: DataFrame, low: float = 0.9, aim: float = 0.95) -> tuple[DataFrame, float]:
-    """Pairs (a, b) of nodes (node, u) with cosine >= low, a < b, and the audited recall."""
-    head = nodes.first()
-    if head is None:
-        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")), 1.0
-    n, dim = nodes.count(), len(head.u)
+def near_pairs(nodes: DataFrame, dim: int, low: float = 0.9, aim: float = 0.95) -> tuple[DataFrame, DataFrame, float]:
+    """Pairs (a, b) of nodes (node, u) with cosine >= low, a < b; fewer edges that join the same nodes; audited recall."""
+    n = nodes.count()
     centres = _centres(nodes, n, dim)
     probes = min(len(centres), 3)
     while True:
@@ -178,7 +193,7 @@ def near_pairs(nodes: DataFrame, low: float = 0.9, aim: float = 0.95) -> tuple[D
         def find(pdf: pd.DataFrame) -> pd.DataFrame:
             own, ask = pdf[pdf.member], pdf[~pdf.member]
             if not len(own) or not len(ask):
-                return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+                return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "tree": np.zeros(0, bool)})
             order = np.argsort(own.node.to_numpy(), kind="stable")
             ids = own.node.to_numpy()[order]
             exact, theirs = _stack(own.u, np.float64)[order], _stack(ask.u, np.float64)
@@ -195,12 +210,15 @@ def near_pairs(nodes: DataFrame, low: float = 0.9, aim: float = 0.95) -> tuple[D
             qs, rows = qs[keep], rows[keep]
             sure = np.concatenate([np.zeros(0, dtype=bool), *[np.einsum("ij,ij->i", theirs[qs[i : i + (1 << 16)]], exact[rows[i : i + (1 << 16)]]) >= low for i in range(0, len(qs), 1 << 16)]]).astype(bool)
             a, b = q_ids[qs[sure]], ids[rows[sure]]
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "tree": False}).drop_duplicates()
+            low_end, far_end = forest(pairs.a.to_numpy(), pairs.b.to_numpy())
+            return pd.concat([pairs, pd.DataFrame({"a": low_end, "b": far_end, "tree": True})])
 
-        pairs = materialize(member.unionByName(asked).groupBy("shard", "salt", "part").applyInPandas(find, "a long, b long").distinct())
+        found = materialize(member.unionByName(asked).groupBy("shard", "salt", "part").applyInPandas(find, "a long, b long, tree boolean").distinct())
+        pairs, edges = found.filter("NOT tree").select("a", "b"), found.filter("tree").select("a", "b")
         recall = audit(nodes, pairs, n, low)
         if recall >= aim or probes >= len(centres):
-            return pairs, recall
+            return pairs, edges, recall
         probes = min(len(centres), 4 * probes)
 
 
@@ -241,10 +259,10 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     rows = materialize(vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")).mapInPandas(units, f"vec_id {kind}, u array<double>"))
     nodes = materialize(rows.filter("u IS NOT NULL").groupBy("u").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     lengths = sorted(r.n for r in nodes.select(F.size("u").alias("n")).distinct().collect())
-    pairs, recall = None, 1.0
+    pairs, edges, recall = None, None, 1.0
     for length in lengths:
-        found, seen = near_pairs(nodes.filter(F.size("u") == length).select("node", "u"), low)
-        pairs, recall = found if pairs is None else pairs.unionByName(found), min(recall, seen)
+        found, tree, seen = near_pairs(nodes.filter(F.size("u") == length).select("node", "u"), length, low)
+        pairs, edges, recall = (found, tree, seen) if pairs is None else (pairs.unionByName(found), edges.unionByName(tree), min(recall, seen))
     if pairs is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audit_recall"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -252,7 +270,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     several = nodes.filter("copies > 1").select(F.col("node").alias("b"), (F.col("copies") - 1).alias("others"))
     counted = both.groupBy("a").agg(F.count(F.lit(1)).alias("others")).unionByName(both.join(several, "b").groupBy("a").agg(F.sum("others").alias("others")))
     links = counted.groupBy("a").agg(F.sum("others").alias("others")).withColumnRenamed("a", "node")
-    of = components(pairs).withColumnRenamed("id", "node")
+    of = components(edges).withColumnRenamed("id", "node")
     placed = nodes.join(of, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     known = materialize(placed.join(lowest, "component").select("u", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id"))
