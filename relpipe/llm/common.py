@@ -52,6 +52,12 @@ def unique_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def columns(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
+    """All columns of df, whatever characters their names have, but those that new columns of these names replace."""
+    names = {w.lower() for w in without}
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in names]
+
+
 def learn_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of doc_id as text, modulo modulus; null ids fall in no bucket."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

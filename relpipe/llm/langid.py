@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, learn_bucket, materialize, table, unique_name
+from .common import bounded_sample, columns, learn_bucket, materialize, table, unique_name
 
 UNDETERMINED = "und"
 DIM = 1 << 12
@@ -128,7 +128,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     """docs with lang_pred, score (the cosine, 0 to 1) and rejected.
 
     Null texts and texts without a letter: lang_pred und, score 0, rejected. Where there is no model, every text is so.
-    Ties go to the language first in order. Repeated rows get equal results; all other columns pass through.
+    Ties go to the language first in order. Repeated rows get equal results; all other columns pass through, and columns
+    of docs with the results' names are replaced.
     """
     out = unique_name(docs, "lang")
 
@@ -149,7 +150,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"], index=batch.index)
 
     found = docs.withColumn(out, nearest(F.col(text_col)))
-    return found.select(*docs.columns, *[F.col(out)[c].alias(c) for c in ("lang_pred", "score", "rejected") if c not in docs.columns])
+    new = ("lang_pred", "score", "rejected")
+    return found.select(*columns(docs, new), *[F.col(out)[c].alias(c) for c in new])
 
 
 def learned(docs: DataFrame) -> Model | None:
@@ -160,7 +162,7 @@ def learned(docs: DataFrame) -> Model | None:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents, all columns, whose language is identified; rejected ones go."""
     mark = unique_name(docs, "rejected")
-    found = identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), learned(docs)).withColumnRenamed("rejected", mark)
+    found = identify(docs.select(F.struct(*columns(docs)).alias("row"), "text"), learned(docs)).withColumnRenamed("rejected", mark)
     return found.filter(~F.col(mark)).select("row.*")
 
 

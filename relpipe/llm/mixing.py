@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, unique_name
+from .common import columns, table, unique_name
 
 #: The largest rate of one draw, and the counts its distribution is tabulated to; the tail beyond is under 2^-52.
 RATE, COUNTS = 32, 120
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float], default_weight: float
     rows = rows.withColumn(order, F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy).cast("string")).cast("binary")))
     rows = rows.repartition(order).sortWithinPartitions(order)
     extra = [F.col(c).alias(name) for c, name in ((copy, copy_col), (order, order_col)) if name]
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *extra)
+    return rows.select(*columns(docs, tuple(c for c in (copy_col, order_col) if c)), *extra)
 
 
 #: Relative weights of the query's and the pipeline's sources; a source of another name has weight 1.

@@ -145,7 +145,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", carry: tuple[str
     Null texts have no spans. Repeated rows each keep a row. Columns outside `carry` and text are not read, so their
     names do not matter.
     """
-    row = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(text_col).alias("text"))
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in carry]).alias("row"), F.col(text_col).alias("text"))
     row = with_base_spans(row, "text", "base")
     text = F.col("text") if keep_text else F.when(F.size("base") > 0, F.col("text"))
     scanned = materialize(row.select("row", "base", text.alias("text"), F.when(F.size("base") > 0, F.uuid()).alias("key")))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import components, materialize, table, unique_name
+from .common import columns, components, materialize, table, unique_name
 
 BITS = 64
 #: Shingles whose bits are summed at a time.
@@ -172,8 +172,8 @@ def keep_one_of_each(docs: DataFrame, max_distance: int = 4) -> DataFrame:
     single, several = unique_name(docs, "id"), unique_name(docs, "several")
     marks = lead.select(F.col("doc_id").alias(single), F.col("fp").alias(fp), (F.col("n") > 1).alias(several))
     kept = docs.join(marks, docs["doc_id"].eqNullSafe(F.col(single)))
-    once = kept.filter(~F.col(several)).select(*docs.columns)
-    repeated = kept.filter(F.col(several)).filter(fingerprint_udf(F.col("text")) == F.col(fp)).dropDuplicates(["doc_id"]).select(*docs.columns)
+    once = kept.filter(~F.col(several)).select(*columns(docs))
+    repeated = kept.filter(F.col(several)).filter(fingerprint_udf(F.col("text")) == F.col(fp)).dropDuplicates(["doc_id"]).select(*columns(docs))
     return once.unionByName(repeated)
 
 

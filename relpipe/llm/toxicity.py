@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, learn_bucket, materialize, table
+from .common import bounded_sample, columns, learn_bucket, materialize, table, unique_name
 
 STEM = 4
 #: Numbers of occurrences from which on a stem gives another term.
@@ -211,10 +211,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", evidence: int = 3) -> DataFrame:
     """docs with score (the probability that the toxic label is 1) and evidence: the nearest examples' ids, labels and
-    cosines. Null, empty and term-less texts have no evidence and score by the base rate; repeated rows score alike."""
-    kind = "string"
+    cosines. Null, empty and term-less texts have no evidence and score by the base rate; repeated rows score alike;
+    columns of docs with the results' names are replaced."""
 
-    @F.pandas_udf(f"score double, evidence array<struct<doc_id:{kind},toxic:int,cosine:double>>")
+    @F.pandas_udf("score double, evidence array<struct<doc_id:string,toxic:int,cosine:double>>")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             rows = []
@@ -223,7 +223,8 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", eviden
                 rows.append((p, [{"doc_id": str(model.ids[-i]), "toxic": int(model.toxic[-i]), "cosine": min(1.0, c)} for c, i in near[:evidence]]))
             yield pd.DataFrame(rows, columns=["score", "evidence"], index=batch.index)
 
-    return docs.withColumn("__toxicity", scored(F.col(text_col))).select(*docs.columns, "__toxicity.*")
+    out = unique_name(docs, "toxicity")
+    return docs.withColumn(out, scored(F.col(text_col))).select(*columns(docs, ("score", "evidence")), f"{out}.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

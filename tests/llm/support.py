@@ -3,7 +3,7 @@
 import random
 
 #: Names that operators use inside; documents may have columns of these names.
-CLASHES = ("fp", "anchor", "row", "base", "terms", "key", "words", "score_", "rate", "copy", "block", "stats", "u", "node", "__fp", "__id")
+CLASHES = ("fp", "anchor", "row", "base", "terms", "key", "words", "score_", "rate", "copy", "block", "stats", "u", "node", "__fp", "__id", "dotted.name", "score", "rejected", "evidence")
 
 
 def words(rng, n, alphabet="etaoinshrdlu"):
