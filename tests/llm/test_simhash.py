@@ -63,7 +63,7 @@ def test_only_ascii_space_separates_words():
 
 
 def test_every_near_pair_meets_at_a_home_anchor():
-    for width, t in ((21, 1), (22, 1), (16, 1), (9, 2)):
+    for width, t in ((21, 1), (22, 1), (16, 1), (9, 2), (32, 2)):
         checks, home, masks = simhash.code_masks(width, 1 + t)
         n = 2**checks - 1
 
@@ -84,11 +84,11 @@ def test_every_near_pair_meets_at_a_home_anchor():
             assert anchor in {y ^ m for m in masks[syndrome(y)]}
 
 
-@pytest.mark.parametrize("hot", [10_000, 1])
-def test_links_join_just_what_all_pairs_join(spark, hot):
+@pytest.mark.parametrize(("hot", "blocks"), [(10_000, 3), (1, 3), (10_000, 2)])
+def test_links_join_just_what_all_pairs_join(spark, hot, blocks):
     values = near_values()
     fps = spark.createDataFrame([(signed(v),) for v in values], "fp bigint")
-    edges = [(r.a, r.b) for r in simhash.links(fps, hot=hot, cell=16).collect()]
+    edges = [(r.a, r.b) for r in simhash.links(fps, blocks=blocks, hot=hot, cell=16).collect()]
     assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 4 for a, b in edges) or hot == 1  # a forest may name a class by a farther member
     parent = {signed(v): signed(v) for v in values}
 
