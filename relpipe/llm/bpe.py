@@ -41,6 +41,8 @@ NEWER = (
 )
 #: Distinct pieces, and pairs of tokens, that a worker process remembers at most; then it starts afresh.
 PIECES, PAIRS = 400_000, 1_000_000
+#: Longer pieces, in characters, are not remembered, so that the memory is bounded in bytes too.
+LONG = 64
 
 
 def byte_chars() -> dict[str, int]:
@@ -70,10 +72,12 @@ class Pieces(dict):
         self.codec = codec
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES:
-            self.clear()
         ids = self.codec.encode_piece(piece)
-        found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= LONG:
+            if len(self) >= PIECES:
+                self.clear()
+            self[piece] = found
         return found
 
 
