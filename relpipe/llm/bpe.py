@@ -6,7 +6,7 @@ automaton finds the vocabulary's tokens ending at each position; the pair test u
 and asks whether BPE would have merged across it first. Back-pointers from the end give the ids.
 
 A text is first cut at the vocabulary's added tokens and then, by the tokenizer's own pattern, into pieces; each distinct
-piece is encoded once per worker process, within a bounded memory of pieces.
+piece is encoded once per task, within a bounded memory of pieces.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release_memory, table
 
 #: The split pattern of byte-level BPE (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,8 +39,8 @@ NEWER = (
     "0x1DFCD-0x1DFFF, 0x1E6C0-0x1E6DE, 0x1E6E0-0x1E6E2, 0x1E6E4-0x1E6E5, 0x1E6E7-0x1E6ED, 0x1E6F0-0x1E6F4, 0x1E6FE-0x1E6FF, 0x2B73A-0x2B73F, "
     "0x2B81E-0x2B81E, 0x2CEA2-0x2CEAD, 0x323B0-0x33479, 0x3D000-0x3FC3F, "
 )
-#: Distinct pieces, and pairs of tokens, that a worker process remembers at most; then it starts afresh.
-PIECES, PAIRS = 400_000, 1_000_000
+#: Distinct pieces, and pairs of tokens, that a task remembers at most; then it starts afresh.
+PIECES, PAIRS = 200_000, 300_000
 #: Longer pieces, in characters, are not remembered, so that the memory is bounded in bytes too.
 LONG = 64
 
@@ -181,6 +181,12 @@ class Codec:
             at = m.end()
         return b"".join([*out, *map(pieces, self.split(text[at:]))])
 
+    def forget(self) -> None:
+        """Lets go of all pieces and pairs, and of their memory."""
+        self.pieces.clear()
+        self.pairs.clear()
+        release_memory()
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
@@ -205,6 +211,7 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
         c = codec(path)
         for batch in texts:
             yield pd.Series([np.frombuffer(c.encode(t), "<u4").astype(np.int64) for t in batch], index=batch.index)
+        c.forget()
 
     return docs.withColumn(ids_col, encoded(F.col(text_col)))
 
@@ -237,6 +244,7 @@ def bpe_digest(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 ids = c.encode(t)
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids).encode("utf-8", "replace")).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=batch.index)
+        c.forget()
 
     return docs.select("doc_id", digest(F.col(text_col)).alias("d")).select("doc_id", "d.*")
 

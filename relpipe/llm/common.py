@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,15 @@ def forget(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release_memory() -> None:
+    """Gives a Python worker's freed memory back at the end of a task: Spark keeps workers, and what they hold is missing
+    from the executor's memory while other stages run."""
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def unique_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have, so that extra columns of any name may pass through."""
     taken = {c.lower() for c in df.columns}

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, columns, learn_bucket, materialize, table, unique_name
+from .common import bounded_sample, columns, learn_bucket, materialize, release_memory, table, unique_name
 
 UNDETERMINED = "und"
 DIM = 1 << 12
@@ -137,8 +137,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     def nearest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             rows: list[tuple[str, float, bool]] = []
-            for i in range(0, len(batch), 256):
-                found = [counts(t) if model else None for t in batch.iloc[i : i + 256]]
+            for i in range(0, len(batch), 64):
+                found = [counts(t) if model else None for t in batch.iloc[i : i + 64]]
                 some = [c for c in found if c is not None]
                 best = iter(())
                 if some:
@@ -148,6 +148,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
                     best = iter([(model.langs[j], min(1.0, max(0.0, float(v))), bool(v < model.floor[j])) for j, v in zip(at, top, strict=True)])
                 rows += [(UNDETERMINED, 0.0, True) if c is None else next(best) for c in found]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"], index=batch.index)
+        release_memory()
 
     found = docs.withColumn(out, nearest(F.col(text_col)))
     new = ("lang_pred", "score", "rejected")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_sample, learn_bucket, materialize, table, unique_name
+from .common import bounded_sample, learn_bucket, materialize, release_memory, table, unique_name
 
 STATISTICS = (
     "log_chars", "log_words", "word_chars", "upper", "digits", "spaces", "bangs", "bars", "symbols", "stops", "other_bytes",
@@ -76,6 +76,7 @@ def statistics(text: str | None) -> tuple[float, ...]:
 def statistics_udf(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
         yield pd.DataFrame([statistics(t) for t in batch], columns=list(STATISTICS), index=batch.index)
+    release_memory()
 
 
 @dataclass(frozen=True)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import columns, components, materialize, table, unique_name
+from .common import columns, components, materialize, release_memory, table, unique_name
 
 BITS = 64
 #: Distinct fingerprints from which on two blocks with a 31-bit code cost less than three with a 15-bit code: replicas rise
@@ -57,6 +57,7 @@ def fingerprint(text: str | None) -> int:
 def fingerprint_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series(np.array([fingerprint(t) for t in batch], dtype=np.uint64).view(np.int64), index=batch.index)
+    release_memory()
 
 
 def parts(blocks: int) -> list[tuple[int, int]]:

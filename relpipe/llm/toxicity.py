@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, columns, learn_bucket, materialize, table, unique_name
+from .common import bounded_sample, columns, learn_bucket, materialize, release_memory, table, unique_name
 
 STEM = 4
 #: Numbers of occurrences from which on a stem gives another term.
@@ -222,6 +222,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", eviden
                 p, near = model.score(t)
                 rows.append((p, [{"doc_id": str(model.ids[-i]), "toxic": int(model.toxic[-i]), "cosine": min(1.0, c)} for c, i in near[:evidence]]))
             yield pd.DataFrame(rows, columns=["score", "evidence"], index=batch.index)
+        release_memory()
 
     out = unique_name(docs, "toxicity")
     return docs.withColumn(out, scored(F.col(text_col))).select(*columns(docs, ("score", "evidence")), f"{out}.*")
