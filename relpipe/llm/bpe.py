@@ -39,7 +39,7 @@ NEWER = (
     "0x1DFCD-0x1DFFF, 0x1E6C0-0x1E6DE, 0x1E6E0-0x1E6E2, 0x1E6E4-0x1E6E5, 0x1E6E7-0x1E6ED, 0x1E6F0-0x1E6F4, 0x1E6FE-0x1E6FF, 0x2B73A-0x2B73F, "
     "0x2B81E-0x2B81E, 0x2CEA2-0x2CEAD, 0x323B0-0x33479, 0x3D000-0x3FC3F, "
 )
-#: Distinct pieces, and pairs of tokens, that a task remembers at most; then it starts afresh.
+#: Distinct pieces that a task, and pairs of tokens that a worker process remembers at most; then it starts afresh.
 PIECES, PAIRS = 200_000, 300_000
 #: Longer pieces, in characters, are not remembered, so that the memory is bounded in bytes too.
 LONG = 64
@@ -182,9 +182,8 @@ class Codec:
         return b"".join([*out, *map(pieces, self.split(text[at:]))])
 
     def forget(self) -> None:
-        """Lets go of all pieces and pairs, and of their memory."""
+        """Lets go of the pieces and their memory; the pairs are few and worth keeping for the next task."""
         self.pieces.clear()
-        self.pairs.clear()
         release_memory()
 
     def decode(self, ids: bytes) -> str:
