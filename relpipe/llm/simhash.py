@@ -155,6 +155,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs, whatever their names, are not read. The number of blocks, where not given, follows from the number of distinct
     fingerprints; it changes the cost, not the result.
     """
+    return _rows_by_component(docs, id_col, text_col, max_distance, blocks).select("doc_id", "fp", "component_id")
+
+
+def _rows_by_component(docs: DataFrame, id_col: str, text_col: str, max_distance: int, blocks: int | None = None) -> DataFrame:
+    """simhash_components with one more column: component, the least fingerprint of the group, which no other group has."""
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(F.col(text_col)).alias("fp")))
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     n = nodes.count()
@@ -164,26 +169,29 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parents = components(links(nodes.select("fp"), max_distance, blocks, hot=max(48, 4 * n // anchors)))
     grouped = nodes.join(parents, nodes.fp == parents.id, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     lowest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = materialize(grouped.join(lowest, "component").select("fp", "component_id"))
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = materialize(grouped.join(lowest, "component").select("fp", "component_id", "component"))
+    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id", "component")
 
 
 def keep_one_of_each(docs: DataFrame, max_distance: int = 4) -> DataFrame:
     """The documents, all columns, without all but one of each group of near-duplicates: the smallest doc_id stays.
 
     Repeated rows with that id count as copies of each other, so one of them stays. Groups whose ids are all null keep
-    one row too.
+    one row too, and so does each of several groups whose smallest ids are equal.
     """
-    fp = unique_name(docs, "fp")
-    found = simhash_components(docs, max_distance=max_distance)
-    keep = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")))
-    lead = keep.groupBy("doc_id").agg(F.min("fp").alias("fp"), F.sum("n").alias("n"))
-    single, several = unique_name(docs, "id"), unique_name(docs, "several")
-    marks = lead.select(F.col("doc_id").alias(single), F.col("fp").alias(fp), (F.col("n") > 1).alias(several))
-    kept = docs.join(marks, docs["doc_id"].eqNullSafe(F.col(single)))
-    once = kept.filter(~F.col(several)).select(*columns(docs))
-    repeated = kept.filter(F.col(several)).filter(fingerprint_udf(F.col("text")) == F.col(fp)).dropDuplicates(["doc_id"]).select(*columns(docs))
-    return once.unionByName(repeated)
+    fp, single = unique_name(docs, "fp"), unique_name(docs, "id")
+    found = materialize(_rows_by_component(docs, "doc_id", "text", max_distance))
+    lead = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", "doc_id").agg(F.min("fp").alias("fp"))
+    sizes = found.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    marks = materialize(lead.join(sizes, lead.doc_id.eqNullSafe(sizes.id)).select(F.col("doc_id").alias(single), F.col("fp").alias(fp), "n"))
+    same = docs["doc_id"].eqNullSafe(F.col(single))
+    once = docs.join(marks.filter("n = 1").select(single), same).select(*columns(docs))
+    # rows that share an id are told apart by their fingerprints; the id alone would pair each of them with each group's mark
+    several = marks.filter("n > 1").select(single, fp)
+    repeated = docs.join(several.select(single).distinct(), same, "left_semi").withColumn(fp, fingerprint_udf(F.col("text")))
+    leads = several.withColumnRenamed(fp, f"{fp}_lead")
+    repeated = repeated.join(leads, (F.col(fp) == F.col(f"{fp}_lead")) & repeated["doc_id"].eqNullSafe(F.col(single)))
+    return once.unionByName(repeated.dropDuplicates(["doc_id", fp]).select(*columns(docs)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,6 +141,21 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 5]
 
 
+def test_one_of_each_group_stays_where_ids_are_null_or_shared(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    # three groups of null ids, two groups led by the id 7, and a row of id 7 that the id 3 leads
+    texts, ids = [a, a, b, b, c, d, d, e, a + " more", e], [None, None, None, None, None, 7, 7, 7, 3, 8]
+    docs = documents(spark, [*texts, "one and only", "one and only"], ids=[*ids, 7, 3], extra=True)
+    fps = [simhash.fingerprint(t) for t in texts]
+    classes = brute_components(sorted(set(fps)))
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one_of_each(docs).collect()]
+    groups = {classes[f] for f in fps}
+    assert len(kept) == len(groups) + 1
+    assert {classes[simhash.fingerprint(t)] for _, t in kept if t in texts} == groups
+    assert kept.count((None, b)) == kept.count((None, c)) == kept.count((7, d)) == kept.count((7, e)) == kept.count((3, "one and only")) == 1
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = simhash.query(spark, sf).collect()
