@@ -5,10 +5,11 @@ reveals an entity e as far as knowing t tells that e is there:
 
     disclosure(e, t) = PMI(e; t) / IC(e) = log(p(e, t) / (p(e) p(t))) / -log p(e),
 
-with document frequencies over the whole corpus; it is 1 where t occurs with e only. Co-occurrence is counted in a window
-of words around the entity, over distinct windows, so that copies of one text count once; fewer than `support` distinct
-windows are no evidence. In the documents of e, terms with a disclosure of `generalise` or more are replaced by a general
-label, and those of `remove` or more are removed. Everything is DataFrame functions; no Python runs on the executors.
+with document frequencies over the whole corpus, all of them over distinct texts, so that copies of one text count once; it
+is 1 where t occurs with e only. Co-occurrence is counted in a window of words around the entity; fewer than `support`
+distinct windows are no evidence. In all documents, those that do not spell e out included, terms with a disclosure of
+`generalise` or more are replaced by a general label, and those of `remove` or more are removed. Everything is DataFrame
+functions; no Python runs on the executors.
 
 The patterns are written with possessive loops and look-behinds, which match just what the plain ones do, in time linear
 in the text and without recursion.
@@ -99,43 +100,51 @@ def _entity(span: Column) -> Column:
     return F.concat(span.kind.cast("string"), F.lit(":"), F.when(span.kind == 0, F.lower(span.value)).when(span.kind == 1, span.value).otherwise(F.regexp_replace(span.value, "[^0-9]", "")))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, window: int = 6, support: int = 3, generalise: float = 0.8) -> DataFrame:
-    """(entity, term, disclosure) for the terms that reveal an entity by `generalise` or more.
+def _text_key(text: Column) -> Column:
+    """Equal for equal texts only; null for a null text."""
+    return F.when(text.isNotNull(), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")))
 
-    found: text and spans of the documents with base spans; docs: all documents, for the terms' frequencies.
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, window: int = 6, support: int = 3, generalise: float = 0.8) -> tuple[DataFrame, DataFrame] | None:
+    """(entity, term, disclosure) for the terms that reveal an entity by `generalise` or more, and (term, key) for the
+    distinct texts among all documents that have such a term or one that came near it; None where no term comes near.
+
+    found: key, text and spans of the documents with base spans; docs: all documents, for the terms' frequencies. All
+    counts are of distinct texts.
     """
+    found = materialize(found.dropDuplicates(["key"]))
     reach = 24 * window  # code points looked at on each side, more than a window of usual words
     span = F.explode("spans").alias("s")
-    near = found.select("text", span).select(
+    near = found.select("key", "text", span).select(
+        "key",
         _entity(F.col("s")).alias("entity"),
         F.substring("text", F.greatest(F.lit(1), F.col("s.start").cast("int") + 1 - reach), F.least(F.lit(reach), F.col("s.start").cast("int"))).alias("before"),
         F.substring("text", F.col("s.end").cast("int") + 1, F.lit(reach)).alias("after"),
     )
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) > 2)
     left, right = words(F.col("before")), words(F.col("after"))
-    near = near.select("entity", F.array_distinct(F.concat(F.reverse(F.slice(F.reverse(left), 1, window)), F.slice(right, 1, window))).alias("terms"))
-    near = near.distinct()  # one row per entity and distinct window
-    each = near.select("entity", F.explode("terms").alias("term"))
-    pairs = each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("windows")).filter(F.col("windows") >= support)
-    n = docs.count()
+    near = near.select("key", "entity", F.array_distinct(F.concat(F.reverse(F.slice(F.reverse(left), 1, window)), F.slice(right, 1, window))).alias("terms"))
+    each = near.select("key", "entity", F.xxhash64("terms").alias("window"), F.explode("terms").alias("term"))
+    pairs = each.groupBy("entity", "term").agg(F.count_distinct("window").alias("windows"), F.count_distinct("key").alias("joint")).filter(F.col("windows") >= support)
+    n = docs.select(_text_key(F.col(text_col)).alias("key")).filter("key IS NOT NULL").distinct().count()
     holders = found.select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # a disclosure of `generalise` needs n_term <= windows * (n / n_entity) ** (1 - generalise). The documents with base
-    # spans that have the term are some of n_term already, so this drops no term that could reach it
+    # a disclosure of `generalise` needs n_term <= joint * (n / n_entity) ** (1 - generalise). The texts with base spans
+    # that have the term are some of n_term already, so this drops no term that could reach it
     own = found.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
-    pairs = pairs.join(holders, "entity").join(own, "term").filter(F.col("n_least") <= F.col("windows") * F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1 - generalise)) * 1.000001)
-    pairs = materialize(pairs.select("entity", "term", "windows", "n_entity"))
+    pairs = pairs.join(holders, "entity").join(own, "term").filter(F.col("n_least") <= F.col("joint") * F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1 - generalise)) * 1.000001)
+    pairs = materialize(pairs.select("entity", "term", "joint", "n_entity"))
     terms = pairs.select("term").distinct()
     few = pairs.count()
     if few == 0:
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
-    every = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))).alias("term"))
-    frequency = every.join(F.broadcast(terms) if few <= 50_000 else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+        return None
+    every = docs.select(_text_key(F.col(text_col)).alias("key"), F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))).alias("term"))
+    hits = materialize(every.join(F.broadcast(terms) if few <= 50_000 else terms, "term", "left_semi").distinct())
+    frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     rated = pairs.join(frequency, "term")
-    # distinct windows stand for documents, so p(e, t) and p(e) are both over windows of the entity
-    joint = F.least(F.col("windows"), F.col("n_term"), F.col("n_entity"))
+    joint = F.least(F.col("joint"), F.col("n_term"), F.col("n_entity"))
     ic = F.greatest(-F.log(F.col("n_entity") / n), F.lit(1e-9))
     pmi = F.log(joint * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term")))
-    return rated.select("entity", "term", (pmi / ic).alias("disclosure")).filter(F.col("disclosure") >= generalise)
+    return rated.select("entity", "term", (pmi / ic).alias("disclosure")).filter(F.col("disclosure") >= generalise), hits
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), generalise: float = 0.8, remove: float = 0.95, keep_text: bool = False) -> DataFrame:
@@ -148,23 +157,25 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", carry: tuple[str
     row = docs.select(F.struct(*[docs[f"`{c}`"] for c in carry]).alias("row"), F.col(text_col).alias("text"))
     row = with_base_spans(row, "text", "base")
     text = F.col("text") if keep_text else F.when(F.size("base") > 0, F.col("text"))
-    scanned = materialize(row.select("row", "base", text.alias("text"), F.when(F.size("base") > 0, F.uuid()).alias("key")))
+    scanned = materialize(row.select("row", "base", text.alias("text"), _text_key(F.col("text")).alias("key")))
     found = scanned.filter(F.size("base") > 0)
-    terms = materialize(disclosing_terms(found.select("text", F.col("base").alias("spans")), docs, text_col, generalise=generalise))
-    if terms.isEmpty():
+    rated = disclosing_terms(found.select("key", "text", F.col("base").alias("spans")), docs, text_col, generalise=generalise)
+    terms = materialize(rated[0].groupBy("term").agg(F.max("disclosure").alias("d"))) if rated else None
+    if terms is None or terms.isEmpty():
         return scanned.select("row", "base", F.array().cast(SPANS).alias("terms"), "text")
-    own = found.select("key", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
-    revealed = own.join(terms, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("d")).groupBy("key").agg(F.collect_list(F.struct("term", "d")).alias("revealed"))
-    hit = found.join(revealed, "key")
-    hit = hit.withColumn("words", F.map_from_entries("revealed"))
+    # a term reveals its entity most where the text does not spell that out, so it is looked for in every text
+    few = F.broadcast(terms) if terms.count() <= 50_000 else terms
+    revealed = materialize(rated[1].join(few, "term").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("words")))
+    small = revealed.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first().n <= 50_000
+    hit = docs.select(_text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(revealed) if small else revealed, "key")
     hit = _with_matches(hit, "text", WORD, F.lit(True), 4, lambda m: F.map_contains_key(F.col("words"), F.lower(m)), "terms")
     # where the disclosure asks for removal, the value is empty; else it is the label that stands for the term
     hit = hit.withColumn("terms", F.transform("terms", lambda s: F.struct(s.start, s.kind, s.end, F.when(F.element_at(F.col("words"), F.lower(s.value)) >= remove, F.lit("")).otherwise(F.lit("[TERM]")).alias("value"))).cast(SPANS))
+    marks = materialize(hit.select(F.col("key").alias("k"), F.col("terms").alias("marked")).distinct())
+    small = marks.agg(F.coalesce(F.sum(F.size("marked")), F.lit(0)).alias("n")).first().n <= 50_000
     outside = lambda s: ~F.exists(F.col("base"), lambda b: (s.start < b.end) & (b.start < s.end))
-    marks = hit.select(F.col("key").alias("k"), F.filter("terms", outside).alias("terms"))
-    # only documents with base spans have a key; the others must not meet in the join as one null key
-    marked = found.join(marks, found.key == marks.k, "left").select("row", "base", F.coalesce("terms", F.array().cast(SPANS)).alias("terms"), "text")
-    return scanned.filter(F.size("base") == 0).select("row", "base", F.array().cast(SPANS).alias("terms"), "text").unionByName(marked)
+    marked = scanned.join(F.broadcast(marks) if small else marks, scanned.key == F.col("k"), "left")
+    return marked.select("row", "base", F.coalesce(F.filter("marked", outside), F.array().cast(SPANS)).alias("terms"), "text")
 
 
 def _joined(spans: Column) -> Column:
@@ -186,7 +197,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc.out, F.substring(F.col("text"), (acc.at + 1).cast("int"), F.length("text"))))
-    rows = rows.withColumn("changed", F.size("base") > 0).withColumn("clean", F.when(F.col("changed"), clean).otherwise(F.col("text")))
+    rows = rows.withColumn("changed", F.size(spans) > 0).withColumn("clean", F.when(F.col("changed"), clean).otherwise(F.col("text")))
     cols = [F.col("clean").alias("text") if c == "text" else F.when(F.col("changed"), F.length("clean").cast("long")).otherwise(F.col("row")[c]).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
     return rows.select(*cols)
 

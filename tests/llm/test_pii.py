@@ -104,6 +104,27 @@ def test_copies_of_one_text_are_no_evidence(spark):
     assert all(not r.terms for r in pii.find_personal_data(docs).collect())
 
 
+def test_copies_do_not_hide_what_reveals_an_entity(spark):
+    rng = random.Random(10)
+    texts = [f"{words(rng, 20)} quaggol boss@corp.example {words(rng, 20)}" for _ in range(3)]
+    docs = documents(spark, texts * 30 + [words(rng, 20) for _ in range(60)])
+    out = [r.text for r in pii.sanitise(docs).collect()]
+    # it occurs with the entity only, in three texts: a disclosure of 1, so it is removed from every copy
+    assert len(out) == 150 and not any("quaggol" in t for t in out)
+
+
+def test_terms_go_from_documents_that_do_not_spell_the_entity_out(spark):
+    texts = [*corpus(spark), "they say that Zorblatt lives here", "they say that Zorblatt lives here", "nothing else"]
+    docs = documents(spark, texts, extra=True).withColumn("n_chars", F.length("text").cast("long"))
+    clean = {r.doc_id: r for r in pii.sanitise(docs).collect()}
+    assert len(clean) == len(texts)
+    assert clean[60].text == clean[61].text == "they say that [TERM] lives here"
+    assert clean[60].n_chars == len(clean[60].text) and clean[62].text == "nothing else"
+    assert "Zorblatt" not in clean[0].text
+    spans = {r.row.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    assert [(s.start, s.end) for s in spans[60].terms] == [(14, 22)] and not spans[60].base
+
+
 def test_sanitise_replaces_spans_and_keeps_other_texts(spark):
     assert [k for *_, k in brute("x +30569309025904 y")] == ["phone", "card"]  # overlapping: the span that starts first is replaced
     texts = ["mail a@b.c or +1 (386) 555-3733!", None, "", "nothing here", "x +30569309025904 y", "1.2.3.4", "🙂 1.2.3.4 é"]
