@@ -29,7 +29,6 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?$"
-WORD = r"\p{L}++"
 SPANS = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 #: Elements summed at a time for prefix sums.
 STEP = 64
@@ -52,11 +51,11 @@ def _with_prefix_sums(df: DataFrame, values: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.size(values) - 1), before)).otherwise(F.array().cast("array<bigint>"))).drop(sums)
 
 
-def _with_matches(df: DataFrame, text: str, pattern: str, gate: Column, kind: int, valid, out: str) -> DataFrame:
+def _with_matches(df: DataFrame, text: str, pattern: str | Column, gate: Column, kind: int, valid, out: str) -> DataFrame:
     """Adds out: the spans of all valid matches of pattern in text; texts that fail the gate have none."""
     found, lengths, at = (unique_name(df, f"{x}_{out}") for x in ("found", "lengths", "at"))
     none = F.array().cast("array<string>")
-    df = df.withColumn(found, F.when(gate, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(none))
+    df = df.withColumn(found, F.when(gate, F.regexp_extract_all(F.col(text), pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))).otherwise(none))
     pieces = F.when(F.size(found) > 0, F.split(F.col(text), pattern, -1)).otherwise(none)
     # before match i come the pieces up to i and the matches up to i - 1
     df = df.withColumn(lengths, F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), F.col(found), lambda p, m: F.struct(F.length(p).cast("long").alias("p"), F.length(m).cast("long").alias("m"))))
@@ -168,7 +167,9 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", carry: tuple[str
     revealed = materialize(rated[1].join(few, "term").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("words")))
     small = revealed.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first().n <= 50_000
     hit = docs.select(_text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(revealed) if small else revealed, "key")
-    hit = _with_matches(hit, "text", WORD, F.lit(True), 4, lambda m: F.map_contains_key(F.col("words"), F.lower(m)), "terms")
+    # only the text's own terms are matched: prefix sums over all words of a long text would cost far more
+    own = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("words"), "|"), F.lit(r")(?!\p{L})"))
+    hit = _with_matches(hit, "text", own, F.lit(True), 4, lambda m: F.map_contains_key(F.col("words"), F.lower(m)), "terms")
     # where the disclosure asks for removal, the value is empty; else it is the label that stands for the term
     hit = hit.withColumn("terms", F.transform("terms", lambda s: F.struct(s.start, s.kind, s.end, F.when(F.element_at(F.col("words"), F.lower(s.value)) >= remove, F.lit("")).otherwise(F.lit("[TERM]")).alias("value"))).cast(SPANS))
     marks = materialize(hit.select(F.col("key").alias("k"), F.col("terms").alias("marked")).distinct())
