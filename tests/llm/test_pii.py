@@ -1,7 +1,11 @@
 import hashlib
+import math
 import random
 import re
+import time
+from collections import defaultdict
 
+import regex
 from pyspark.sql import functions as F
 
 from relpipe.llm import pii
@@ -64,8 +68,22 @@ def test_base_spans_equal_the_plain_patterns(spark):
 def test_long_runs_take_no_recursion_and_little_time(spark):
     texts = ["1 " * 60_000, "1" * 100_000, "a" * 100_000 + "@", "a." * 50_000 + "@b" + ".c" * 50_000, "+" + "1 " * 50_000, "1." * 50_000, "x@y.z " * 5_000, "@" * 50_000]
     found = spans_of(spark, texts)
-    for i in (0, 1, 2, 4, 6):
+    for i in (0, 4, 6):
         assert found[i] == brute(texts[i])
+    assert found[1] == found[2] == []  # the plain patterns need minutes to say so
+
+
+def test_many_spans_in_one_text(spark):
+    n = 100_000
+    text = "x@y.z 1.2.3.4 é " * (n // 2)
+    docs = documents(spark, [text, "nothing"])
+    began = time.monotonic()
+    rows = pii.with_base_spans(docs, "text", "s").selectExpr("doc_id", "size(s) AS n", "get(s, size(s) - 1) AS last").collect()
+    assert {r.doc_id: r.n for r in rows} == {0: n, 1: 0}
+    assert next((r.last.start, r.last.end) for r in rows if r.doc_id == 0) == (len(text) - 10, len(text) - 3)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[0] == "[EMAIL] [IP] é " * (n // 2) and clean[1] == "nothing"
+    assert time.monotonic() - began < 60
 
 
 def corpus(spark):
@@ -97,6 +115,83 @@ def test_terms_that_reveal_an_entity(spark):
     assert "[EMAIL]" in clean[0] and clean[2] == texts[2]
 
 
+def letters(text):
+    return regex.split(r"[^\p{L}]+", text.lower())
+
+
+def brute_terms(texts, generalise=0.8, window=6, support=3):
+    """term -> disclosure by the definition, over distinct texts, in plain Python."""
+    texts = {t for t in texts if t is not None}
+    windows, joint, holders = defaultdict(set), defaultdict(set), defaultdict(set)
+    words = lambda t: [w for w in letters(t) if len(w) > 2]
+    for t in texts:
+        spans, reached = brute(t), 0
+        for i, (a, _, b, kind) in enumerate(spans):
+            after = spans[i + 1][0] if i + 1 < len(spans) else len(t)
+            near = tuple(words(t[reached:a])[-window:] + words(t[max(b, reached) : after])[:window])
+            near = tuple(dict.fromkeys(near))
+            value = t[a:b]
+            plain = value.lower() if kind == "email" else value if kind == "ip" else re.sub("[^0-9]", "", value)
+            entities = [(kind, plain)] + ([("domain", plain.split("@")[-1])] if kind == "email" else [])
+            for e in entities:
+                holders[e].add(t)
+                for w in near:
+                    windows[e, w].add(near)
+                    joint[e, w].add(t)
+            if kind == "email":
+                for w in words(value.split("@")[0]):
+                    windows[entities[0], w] |= {(t, i, k) for k in range(support)}  # the address itself is the evidence
+                    joint[entities[0], w] |= {t}
+            reached = max(reached, b)
+    n, of = len(texts), defaultdict(int)
+    for t in texts:
+        for w in set(letters(t)):
+            of[w] += 1
+    rated = defaultdict(float)
+    for (e, w), seen in windows.items():
+        if len(seen) >= support:
+            c = len(holders[e])
+            d = math.log(min(len(joint[e, w]), of[w], c) * n / (c * of[w])) / max(1e-9, -math.log(c / n))
+            if d >= generalise:
+                rated[w] = max(rated[w], d)
+    return rated
+
+
+def brute_all(text, rated):
+    """Base and term spans of a text."""
+    base = brute(text)
+    terms = [(m.start(), 4, m.end(), "term") for m in regex.finditer(r"\p{L}+", text or "") if m.group().lower() in rated]
+    return sorted(base + [t for t in terms if all(t[2] <= a or b <= t[0] for a, _, b, _ in base)])
+
+
+def test_query_equals_brute_force_with_planted_leaks(spark, tmp_path):
+    rng = random.Random(12)
+    texts = corpus(spark)
+    common = words(rng, 12).split()
+    filler = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    # five people at one domain, each beside the same odd word; one address whose name stands in other texts alone
+    texts += [f"{filler(20)} {p}.7@quarrycorp.example Quibblestone {filler(20)}" for p in ("ann", "bob", "cyd", "dov", "eva")]
+    texts += [f"write to dagmara@post.example now {filler(20)}", f"{filler(8)} Dagmara said so", f"{filler(8)} ask Quibblestone, 1.2.3.4 or 4111 1111 1111 1111"]
+    texts += [f"{rng.choice(common)}@post.example {filler(10)}" for _ in range(4)]  # named as common words are
+    texts += [filler(30) for _ in range(80)]
+    texts += [None, "", texts[0], texts[0], "é" * 3000 + " x@y.z"]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rated = brute_terms(texts)
+    assert {"zorblatt", "quibblestone", "dagmara"} <= rated.keys() and not rated.keys() & set(common)
+    found = {r.doc_id: r.spans for r in pii.query(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        assert found[i] == joined(brute_all(t, rated)), t
+
+
+def test_bench_data_has_term_spans(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rated = brute_terms(texts.values())
+    found = {r.doc_id: r.spans for r in pii.query(spark, sf).collect()}
+    assert found == {i: joined(brute_all(t, rated)) for i, t in texts.items()}
+    assert any("term:" in s for s in found.values())
+
+
 def test_copies_of_one_text_are_no_evidence(spark):
     rng = random.Random(8)
     text = f"{words(rng, 20)} unusual boss@corp.example {words(rng, 20)}"
