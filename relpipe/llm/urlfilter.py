@@ -17,8 +17,6 @@ from .common import materialize, table
 SCOPES = ("domain", "host", "prefix")
 #: By strength at equal times and equal specificity.
 ACTIONS = ("remove", "allow", "block")
-#: Path segments that a prefix entry may have.
-DEPTH = 8
 #: Days of one period.
 PERIOD = 60
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?(/[^?#]*)?"
@@ -37,43 +35,49 @@ def _period(day: Column) -> Column:
 def validity(entries: DataFrame) -> DataFrame:
     """(list, scope, key, action, listed_at, until) of each entry in force; until is exclusive, null while it holds.
 
-    Repeated entries count once; of several at one time for one key the strongest action counts (block, allow, remove).
-    Entries with a null, an unknown scope or action, or a prefix of over DEPTH segments are refused.
+    Keys are lower-cased first, so entries that differ in case only are entries of one key. Repeated entries count once; of
+    several at one time for one key the strongest action counts (block, allow, remove). Entries with a null, or an unknown
+    scope or action, are refused.
     """
     rank = F.array_position(F.array(*[F.lit(a) for a in ACTIONS]), F.col("action"))
-    wrong = F.greatest(*[F.col(c).isNull() for c in ("list", "scope", "key", "action", "listed_at")]) | (rank == 0) | ~F.col("scope").isin(*SCOPES) | ((F.col("scope") == "prefix") & (F.size(F.split("key", "/")) > DEPTH + 1))
+    wrong = F.greatest(*[F.col(c).isNull() for c in ("list", "scope", "key", "action", "listed_at")]) | (rank == 0) | ~F.col("scope").isin(*SCOPES)
     checked = entries.select("*", F.when(F.coalesce(wrong, F.lit(True)), F.raise_error(F.lit("a list entry is not valid"))).cast("boolean").alias("__wrong"))
-    single = checked.filter(F.col("__wrong").isNull()).groupBy("list", "scope", "key", "listed_at").agg(F.max(rank).alias("rank"))
+    single = checked.filter(F.col("__wrong").isNull()).withColumn("key", F.lower("key")).groupBy("list", "scope", "key", "listed_at").agg(F.max(rank).alias("rank"))
     after = Window.partitionBy("list", "scope", "key").orderBy("listed_at")
     timed = single.withColumn("until", F.lead("listed_at").over(after)).filter("rank > 1")
-    return timed.select("list", "scope", F.lower("key").alias("key"), F.get(F.array(*[F.lit(a) for a in ACTIONS]), (F.col("rank") - 1).cast("int")).alias("action"), "listed_at", "until")
+    return timed.select("list", "scope", "key", F.get(F.array(*[F.lit(a) for a in ACTIONS]), (F.col("rank") - 1).cast("int")).alias("action"), "listed_at", "until")
 
 
-def _keys(host: Column, path: Column) -> Column:
-    """All (scope, key, specificity) that may list a capture."""
+def _keys(host: Column, path: Column, depths: list[int]) -> Column:
+    """All (scope, key, specificity) that may list a capture; prefixes of the given numbers of segments."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit("domain").alias("scope"), F.array_join(F.slice(labels, i, n), ".").alias("key"), (n - i).cast("int").alias("specific")))
     exact = F.array(F.struct(F.lit("host").alias("scope"), host.alias("key"), F.lit(1000).alias("specific")))
-    parts = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, DEPTH)
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.lit("prefix").alias("scope"), F.concat(host, F.lit("/"), F.lower(F.array_join(F.slice(parts, 1, i), "/"))).alias("key"), (i + 1000).cast("int").alias("specific")))
-    return F.concat(domains, exact, F.when(F.size(parts) > 0, prefixes).otherwise(F.slice(exact, 1, 0)))
+    parts = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, max(depths, default=0))
+    wanted = F.filter(F.array(*[F.lit(d) for d in depths]).cast("array<int>"), lambda i: i <= F.size(parts))
+    prefixes = F.transform(wanted, lambda i: F.struct(F.lit("prefix").alias("scope"), F.concat(host, F.lit("/"), F.lower(F.array_join(F.slice(parts, 1, i), "/"))).alias("key"), (i + 1000).cast("int").alias("specific")))
+    return F.concat(domains, exact, prefixes)
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at", broadcast_rows: int = 50_000) -> DataFrame:
     """One row per capture: id, url, fetch time, host, verdict and the deciding entry's list, key and date.
 
     Verdicts: blocked, allowed (by an entry), unlisted, and invalid where the url is null or has no host. A null fetch
-    time is before all entries: unlisted. Repeated captures keep their rows. Other columns are not read.
+    time is before all entries: unlisted. Repeated captures keep their rows. Other columns are not read. Prefixes and paths
+    may have any number of segments; a prefix lists the captures whose first segments are its own.
     """
     url = F.col(url_col)
     rows = captures.select(F.col(id_col).alias("id"), url.alias("url"), F.col(time_col).alias("at"), host_of(url).alias("host"), F.regexp_extract(url, URL, 2).alias("path"))
-    keyed = rows.filter(F.col("host").isNotNull() & F.col("at").isNotNull()).select("id", "url", "at", _period(F.col("at")).alias("period"), F.explode(_keys(F.col("host"), F.col("path"))).alias("k")).select("id", "url", "at", "period", "k.*")
     span = captures.agg(F.min(time_col).alias("low"), F.max(time_col).alias("high")).select(_period(F.col("low")).alias("low"), _period(F.col("high")).alias("high")).first()
     low, high = (0, -1) if span.low is None else (span.low, span.high)
     first, last = F.greatest(_period(F.col("listed_at")), F.lit(low)), F.least(F.coalesce(_period(F.col("until")), F.lit(high)), F.lit(high))
     held = validity(entries).withColumn("first", first).withColumn("last", last).filter("first <= last")
     held = materialize(held.select(F.explode(F.sequence("first", "last")).alias("period"), "list", "scope", "key", "action", "listed_at", "until"))
+    # a capture is given prefixes of just the lengths that the lists have, few as they are
+    segments = F.size(F.split("key", "/")) - 1
+    depths = sorted(r.n for r in held.filter("scope = 'prefix'").select(segments.alias("n")).distinct().collect())
+    keyed = rows.filter(F.col("host").isNotNull() & F.col("at").isNotNull()).select("id", "url", "at", _period(F.col("at")).alias("period"), F.explode(_keys(F.col("host"), F.col("path"), depths)).alias("k")).select("id", "url", "at", "period", "k.*")
     side = F.broadcast(held) if held.count() <= broadcast_rows else held
     hits = keyed.join(side, ["scope", "key", "period"]).filter((F.col("at") >= F.col("listed_at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
     strength = (F.col("action") == "block").cast("int").alias("strength")
@@ -94,7 +98,7 @@ def made_captures(pages: DataFrame) -> DataFrame:
 
 def made_entries(pages: DataFrame) -> DataFrame:
     """Dated lists made from the hosts of pages: for each host, the domain above it and each section of it, a few entries
-    with dates and actions from an md5."""
+    with dates and actions from an md5, every second one in upper case."""
     found = pages.select(host_of(F.col("url")).alias("host"), F.regexp_extract("url", URL, 2).alias("path")).filter("host IS NOT NULL")
     keys = found.select(F.explode(F.array(
         F.struct(F.lit("hosts").alias("list"), F.lit("host").alias("scope"), F.col("host").alias("key"), F.lit(6).alias("n")),
@@ -103,7 +107,7 @@ def made_entries(pages: DataFrame) -> DataFrame:
     )).alias("k")).select("k.*").filter((F.col("key") != "") & ~F.col("key").endswith("/")).distinct()
     dated = keys.select("list", "scope", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
     m = F.conv(F.substring(F.md5(F.concat_ws("|", "list", "key", F.col("i").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    return dated.select("list", "scope", "key", F.get(F.array(*[F.lit(a) for a in ACTIONS]), (m % 3).cast("int")).alias("action"), F.date_add(F.lit("2022-10-01").cast("date"), (F.floor(m / 3) % 800).cast("int")).alias("listed_at"))
+    return dated.select("list", "scope", F.when(F.col("i") % 2 == 0, F.upper("key")).otherwise(F.col("key")).alias("key"), F.get(F.array(*[F.lit(a) for a in ACTIONS]), (m % 3).cast("int")).alias("action"), F.date_add(F.lit("2022-10-01").cast("date"), (F.floor(m / 3) % 800).cast("int")).alias("listed_at"))
 
 
 ORACLE_SQL = r"""
@@ -117,10 +121,10 @@ keys AS (
   UNION SELECT 'domains', 'domain', regexp_extract(host, '^[^.]+\.([^.]+\..+)$', 1), 4 FROM parsed WHERE host <> ''
   UNION SELECT 'sections', 'prefix', host || '/' || lower(regexp_extract(path, '^/([^/]+)', 1)), 3 FROM parsed WHERE host <> ''),
 hashed AS (
-  SELECT list, scope, key, ('0x' || substr(md5(list || '|' || key || '|' || i), 1, 8))::BIGINT AS m
+  SELECT list, scope, CASE WHEN i % 2 = 0 THEN upper(key) ELSE key END AS key, ('0x' || substr(md5(list || '|' || key || '|' || i), 1, 8))::BIGINT AS m
   FROM keys JOIN (SELECT range AS i FROM range(1, 7)) r ON i <= n WHERE key <> '' AND right(key, 1) <> '/'),
 entries AS (
-  SELECT list, scope, key, DATE '2022-10-01' + ((m // 3) % 800)::INTEGER AS listed_at, max(m % 3) AS strength
+  SELECT list, scope, lower(key) AS key, DATE '2022-10-01' + ((m // 3) % 800)::INTEGER AS listed_at, max(m % 3) AS strength
   FROM hashed GROUP BY 1, 2, 3, 4),
 timed AS (SELECT *, lead(listed_at) OVER (PARTITION BY list, scope, key ORDER BY listed_at) AS until FROM entries),
 candidates AS (
