@@ -6,7 +6,7 @@ import ctypes
 import uuid
 
 import pyarrow
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset and the session runs in
+    one process, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: the executors need a folder that all of them share")
         path = "file:///tmp/checkpoints"
     return path.rstrip("/")
 
@@ -26,21 +29,31 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def new_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, which forget() deletes."""
+    path = f"{shared_dir(spark)}/relpipe-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, and lost executors cost nothing.
 
     The folder stays until forget(), since lazy results read it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/relpipe-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def written() -> int:
+    """A mark of what has been written so far, for forget()."""
+    return len(_written)
 
-def forget(spark: SparkSession) -> None:
-    """Deletes what materialize() wrote; call it when results have been written or collected."""
+
+def forget(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what was written after the mark `since`; call it when the results that read it are written or collected."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
+    while len(_written) > since:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
 
@@ -80,15 +93,39 @@ def hash_fraction(*cols: Column) -> Column:
 
 
 def bounded_sample(df: DataFrame, by: str, bound: int, *key: str) -> DataFrame:
-    """About `bound` rows at most of each value of `by`, chosen by a hash of `key`; all rows where there are fewer.
+    """At most `bound` distinct keys of each value of `by`, one row each: those whose hashes are least; all keys where
+    there are fewer. Copies of a key count once, however many there are. Other columns than `by` and key are not kept.
+
+    Keys are counted approximately first, so that only about twice the bound of hashes, without the keys, is ranked.
+    """
+    value, h, limit = (unique_name(df, x) for x in ("value", "hash", "limit"))
+    u = F.xxhash64(*[F.col(k) for k in key])
+    place = F.shiftrightunsigned(u, 1)
+    sizes = df.groupBy(F.col(by).alias(value)).agg(F.approx_count_distinct(u).alias("n"))
+    sizes = materialize(sizes.select(value, F.when(F.col("n") <= 2 * bound, F.lit((1 << 63) - 1)).otherwise((F.lit(2.0 * bound) / F.col("n") * float(1 << 63)).cast("long")).alias(limit)))
+    few = sizes.count() <= 10_000
+
+    def under(limits: DataFrame) -> DataFrame:
+        side = F.broadcast(limits) if few else limits
+        return df.join(side, df[by].eqNullSafe(F.col(value))).filter(place <= F.col(limit))
+
+    ranked = under(sizes).select(F.col(value), place.alias(h)).distinct()
+    rank = Window.partitionBy(value).orderBy(h)
+    last = ranked.withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= bound).groupBy(value).agg(F.max(h).alias(limit))
+    return under(materialize(last)).select(by, *key).distinct()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, label) of at most `per_class` documents of each label 0 or 1, and the numbers of labelled ids.
 
-    Group sizes are counted over all rows; the sample needs no sort and no group in one task.
+    Ids of labels count once a label, however often they are repeated; null ids and other labels do not count. Of several
+    documents with one id the least text is taken. The labels' side of the join has at most 2 * per_class rows.
     """
-    value, n = unique_name(df, "value"), unique_name(df, "n")
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias(n)).withColumnRenamed(by, value)
-    sizes = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
-    keep = (F.col(n) <= bound) | (hash_fraction(*[F.col(k) for k in key]) < F.lit(float(bound)) / F.col(n))
-    return df.join(sizes, df[by].eqNullSafe(F.col(value))).filter(keep).select(*df.columns)
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).filter("label IN (0, 1)").distinct()
+    sizes = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    few = materialize(bounded_sample(known, "label", per_class, "doc_id"))
+    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return materialize(found.select("doc_id", "text", "label")), sizes
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

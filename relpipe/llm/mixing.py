@@ -55,7 +55,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float], default_weight: float
     place in the order, where wanted.
 
     A null source is a source of its own. Sources without a weight get default_weight; a source of weight 0 goes.
-    Repeated rows and equal ids get equal counts; null ids count as one id. An empty table gives an empty one.
+    Repeated rows and equal ids get equal counts; null ids count as one id. Null, empty and very long texts are rows like
+    any other: only source and id are looked at. Columns of the names copy_col and order_col are replaced; all others
+    pass through. Rows whose order is equal may come in any order. An empty table gives an empty one.
     """
     source, n_draws, cdf, copy, order = (unique_name(docs, x) for x in ("source", "draws", "cdf", "copy", "order"))
     per_source = rates(docs, weights, default_weight, epochs, by).select(F.col("source").alias(source), F.ceil(F.col("rate") / RATE).cast("int").alias(n_draws), "rate")

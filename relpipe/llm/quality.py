@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_sample, learn_bucket, materialize, release_memory, table, unique_name
+from .common import labelled_sample, learn_bucket, materialize, release_memory, table, unique_name
 
 STATISTICS = (
     "log_chars", "log_words", "word_chars", "upper", "digits", "spaces", "bangs", "bars", "symbols", "stops", "other_bytes",
@@ -122,16 +122,15 @@ def _paths(node, bounds: dict[str, tuple[float, float]]) -> Iterator[Rule]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int = 4000, trees: int = 16, depth: int = 3, penalty: float = 0.002) -> Ensemble:
-    """Learns from the texts of labelled documents; about `per_class` rows of each label are used, chosen by a hash of the
-    id, and the intercept is set back to the labels' own proportions. With one label only, the score is constant."""
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
-    sizes = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    """Learns from the texts of labelled documents; at most `per_class` ids of each label are used, chosen by a hash of the
+    id, and the intercept is set back to the labels' own proportions. With one label only, the score is constant. Repeated
+    ids count once a label, null ids and labels not at all, and null texts as empty ones."""
+    examples, sizes = labelled_sample(docs, labels, label, per_class)
     if len(sizes) < 2:
         n = sum(sizes.values())
         p = (sizes.get(1, 0) + 1) / (n + 2)
         return Ensemble(math.log(p / (1 - p)), ())
-    few = F.broadcast(bounded_sample(known, "label", per_class, "doc_id"))  # 2 * per_class rows, about
-    sample = materialize(docs.select("doc_id", "text").join(few, "doc_id").select(statistics_udf("text").alias("s"), F.col("label").cast("double").alias("label")))
+    sample = materialize(examples.select(statistics_udf("text").alias("s"), F.col("label").cast("double").alias("label")))
     flat = sample.select("label", *[F.col("s")[c].alias(c) for c in STATISTICS]).coalesce(8)
     taken = {int(r.label): r["count"] for r in sample.groupBy("label").count().collect()}
     if len(taken) < 2:
@@ -152,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int = 4000, t
 
 def score_quality(docs: DataFrame, model: Ensemble, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with `out`, the probability that the quality label is 1. Null and empty texts get the score of empty
-    statistics; repeated rows get equal scores; all other columns pass through."""
+    statistics; texts of any length are read whole; repeated rows get equal scores; all other columns pass through, but one
+    of the name `out` is replaced; an empty table gives an empty one."""
     stats = unique_name(docs, "stats")
     return docs.withColumn(stats, statistics_udf(F.col(text_col))).withColumn(out, model.score(stats)).drop(stats)
 
