@@ -2,6 +2,8 @@ import random
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from relpipe.llm import langid
 
@@ -61,6 +63,41 @@ def test_pipeline_stage_keeps_clean_documents(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(90))
 
 
+SCRIPTS = {"cyrillic": "абвгдежзийклмнопрстуфхцчшщыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "consonants": "bcdfghjklmnpqrstvwxz", "han": "".join(chr(0x4E00 + i) for i in range(1500))}
+
+
+def test_unlearned_scripts_are_rejected_at_any_length_and_short_clean_texts_are_not(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.learned(docs)
+    rng = random.Random(5)
+    texts = [words(rng, n, letters) for letters in SCRIPTS.values() for n in (5, 50, 500, 5000) for _ in range(10)]
+    rows = langid.identify(documents(spark, texts), model).collect()
+    assert sum(not r.rejected for r in rows if len(texts[r.doc_id].split()) > 5) == 0
+    assert sum(not r.rejected for r in rows) <= 4
+    # documents that their labels call good: few are rejected, short runs of them included
+    good = docs.join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1"), "doc_id").select("doc_id", "text")
+    for part in (good, good.withColumn("text", F.regexp_extract("text", r"^(?:\S+\s+){0,9}\S+", 0))):
+        found = langid.identify(part, model)
+        assert found.filter("rejected").count() < 0.01 * part.count()
+    assert langid.identify(docs, model).filter("rejected").count() > 0
+
+
+@pytest.mark.parametrize(("lang", "least"), [("fr", 0.9), ("en", 0.95)])
+def test_a_language_that_was_not_learned_is_rejected(spark, lang, least):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.fit(docs.filter(F.col("lang") != lang))
+    foreign = langid.identify(docs.filter(F.col("lang") == lang), model)
+    assert foreign.filter("rejected").count() >= least * foreign.count()
+
+
+def test_copies_of_one_text_leave_the_sample_to_others(spark):
+    docs = labelled(spark, 60).select("doc_id", "text", "lang")
+    many = spark.range(3000).selectExpr("id + 1000 AS doc_id", "'aaaa eeee aaaa' AS text", "'xx' AS lang")
+    found = langid.identify(docs, langid.fit(docs.unionByName(many), per_language=30)).collect()
+    assert all(r.lang_pred == r.lang for r in docs.join(spark.createDataFrame([(r.doc_id, r.lang_pred) for r in found], "doc_id bigint, lang_pred string"), "doc_id").collect())
+
+
 def test_nearest_centroid_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

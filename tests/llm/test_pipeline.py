@@ -42,7 +42,7 @@ def brute(spark, path):
             return False
         v = np.log1p(c) * model.idf
         cosines = model.centroids @ (v / np.linalg.norm(v)).astype(np.float32)
-        return cosines.max() >= model.floor[cosines.argmax()]
+        return cosines.max() >= model.least(int(cosines.argmax()), langid.length_of(c))
 
     rows = [r for r in rows if known(r.text)]
     fps = {r.doc_id: simhash.fingerprint(r.text) for r in rows}
