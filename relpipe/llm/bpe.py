@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release_memory, table
+from .common import columns, release_memory, table, unique_name
 
 #: The split pattern of byte-level BPE (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -203,7 +203,8 @@ def default_path() -> str:
 
 
 def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with the ids of each whole text as an array; null and empty texts give an empty array."""
+    """docs with the ids of each whole text as an array; null and empty texts give an empty array. Repeated rows give
+    repeated rows; a column of the name ids_col is replaced, all others pass through."""
 
     @F.pandas_udf("array<long>")
     def encoded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -216,7 +217,8 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
 
 
 def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """rows with the text that each array of ids stands for; null ids give an empty text."""
+    """rows with the text that each array of ids stands for; null ids give an empty text, and bytes that are no UTF-8 the
+    replacement character. Repeated rows give repeated rows; a column of the name text_col is replaced."""
 
     @F.pandas_udf("string")
     def decoded(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -227,25 +229,44 @@ def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str =
     return rows.withColumn(text_col, decoded(F.col(ids_col)))
 
 
-def bpe_digest(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """docs' doc_id with n_tokens and digests of the ids and of the text decoded from those ids; ids never leave the task.
+def _digests(path: str, keep: bool):
+    """A pandas UDF of texts: number of tokens, digests of the ids and of the text decoded from them, and the ids if kept."""
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep else [])]
 
-    Null texts count as empty: no tokens, and the digests of no bytes. Repeated rows give repeated rows. Other columns
-    are not read.
-    """
-
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep else ""))
     def digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for batch in texts:
             rows = []
             for t in batch:
                 ids = c.encode(t)
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids).encode("utf-8", "replace")).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=batch.index)
+                row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids).encode("utf-8", "replace")).hexdigest())
+                rows.append((*row, np.frombuffer(ids, "<i4")) if keep else row)
+            yield pd.DataFrame(rows, columns=names, index=batch.index)
         c.forget()
 
-    return docs.select("doc_id", digest(F.col(text_col)).alias("d")).select("doc_id", "d.*")
+    return digest
+
+
+def bpe_digest(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """docs' doc_id with n_tokens and digests of the ids and of the text decoded from those ids; ids never leave the task.
+
+    Null texts count as empty: no tokens, and the digests of no bytes. Repeated rows give repeated rows. Other columns
+    are not read.
+    """
+    return docs.select("doc_id", _digests(path, False)(F.col(text_col)).alias("d")).select("doc_id", "d.*")
+
+
+def bpe_tokens(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """docs with ids (array<int>), n_tokens, ids_sha256 and decoded_sha256.
+
+    Null and empty texts have no ids. Texts of any length are encoded whole; repeated rows give repeated rows; columns of
+    docs with the results' names are replaced, all others pass through; an empty table gives an empty one.
+    """
+    out = unique_name(docs, "tokens")
+    new = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    found = docs.withColumn(out, _digests(path, True)(F.col(text_col)))
+    return found.select(*columns(docs, new), *[F.col(out)[c].alias(c) for c in new])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from relpipe.llm import bpe, langid, mixing, simhash  # noqa: E402
+from relpipe.llm import bpe, common, langid, mixing, simhash  # noqa: E402
 
 from .support import documents, odd_texts, words  # noqa: E402
 from .test_langid import ALPHABETS  # noqa: E402
@@ -77,6 +79,24 @@ def test_run_equals_brute_force(spark, folder):
     assert found == brute(spark, folder)
 
 
+def test_the_last_stage_gives_rows_to_train_on(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("ids", F.lit("replaced"))
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert out.columns == [*[c for c in docs.columns if c != "ids"], "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    library = Tokenizer.from_file(bpe.default_path())
+    for r in out.collect():
+        assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+
+
+def test_folders_of_a_run_are_deleted(spark, folder):
+    mark = common.written()
+    assert corpus_pipeline.run(spark, folder).count() > 0
+    paths = [p.removeprefix("file://") for p in common._written[mark:]]
+    assert len(paths) >= 5 and all(map(os.path.isdir, paths))
+    common.forget(spark, mark)
+    assert not any(map(os.path.exists, paths))
+
+
 def test_stages_keep_the_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     n = docs.count()
