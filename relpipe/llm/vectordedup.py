@@ -1,13 +1,16 @@
 """Near-duplicate embeddings by range search on a robust-pruned flat graph.
 
-Equal vectors are one node. Nodes are dealt to shards around clustered centres, each node to its two nearest, and shards
-that grow too large are cut at random. In each shard every node's candidates (its nearest members, and some members at
-random that give long edges) are robust-pruned: a candidate goes where one already chosen is nearer to it by the factor
-alpha. Adjacency lists of all shards, edges taken both ways, are united into one flat graph.
-
-Every node is then searched for in the shards of its nearest centres: greedily from a shard's medoid, and on from all
-nodes within range until no more turn up. Pairs are verified in double precision. Recall is audited on a sample of
-queries against all nodes; where it falls short the search is repeated with more shards for each query.
+Equal vectors are one node. Nodes are dealt to shards around clustered centres, each node to its few nearest, so that shards
+overlap; where many centres are needed, a shard's nodes are dealt again, around centres of its own. Shards that are still
+too large are cut at random and searched piece against piece. In each shard every node's candidates (its nearest members,
+and some members at random that give long edges) are robust-pruned: a candidate goes where one already chosen is nearer to
+it by the factor alpha. Adjacency lists of all shards are united into one flat graph.
+
+Every node is searched for in each of its shards: greedily from the shard's medoid, and on from all nodes within range until
+no more turn up, along those edges of the united graph that stay in the shard. Found pairs are verified in double precision
+and counted where they are found; of two shards that hold both nodes of a pair, only the one of the least number counts it.
+So neither pairs nor vectors leave a shard, only numbers of links and a spanning forest. Recall is audited against all
+nodes; where it falls short, each node goes to more shards, and in the end all nodes are compared with each other.
 """
 
 from __future__ import annotations
@@ -21,9 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import components, hash_fraction, materialize, table
 
-SHARD, CELL = 800, 1600
+#: Nodes for one centre, and rows of a piece of a shard.
+SHARD, CELL = 400, 1600
 DEGREE, NEAR, FAR, ALPHA = 16, 64, 32, 1.2
 BEAM, EXPAND, QUERIES = 24, 4, 512
+#: Centres of one level.
+CENTRES = 2048
+#: Numbers of nearest centres that a node goes to, tried one after the other; after the last, all nodes are compared.
+SPREADS = (3, 6, 12)
 
 
 def unit(v) -> np.ndarray | None:
@@ -127,16 +135,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[far]], nodes[far]
 
 
-def _stack(column: pd.Series, dtype=np.float32) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=dtype) for v in column])
-
-
-def _centres(nodes: DataFrame, n: int, dim: int, most: int = 2048, sample: int = 1 << 22) -> np.ndarray:
-    """Spherical k-means on a bounded sample of nodes (at most about `sample` numbers): one centre for SHARD nodes."""
-    k = max(1, min(most, round(n / SHARD)))
-    rows = max(64, min(32 * k, sample // max(1, dim)))
-    got = nodes.filter(hash_fraction(F.col("node"), F.lit("centre")) < min(1.0, rows / n)).orderBy("node").limit(2 * rows).select("u").collect()
-    x = np.array([r.u for r in got] or [nodes.select("u").first().u], dtype=np.float32)
+def _cluster(x: np.ndarray, k: int) -> np.ndarray:
+    """Spherical k-means."""
     rng = np.random.default_rng(7)
     c = x[rng.permutation(len(x))[: min(k, len(x))]]
     for _ in range(8):
@@ -148,99 +148,238 @@ def _centres(nodes: DataFrame, n: int, dim: int, most: int = 2048, sample: int =
     return c
 
 
-def _dealt(nodes: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
-    """(node, u, shard, rank) of each node's nearest centres."""
+def _units(column: pd.Series, dtype=np.float32) -> np.ndarray:
+    return np.stack([unit(v) for v in column]).astype(dtype)
+
+
+def _centres(nodes: DataFrame, n: int, sample: int = 1 << 22) -> dict[int, np.ndarray]:
+    """By length of vector: a centre for SHARD nodes, CENTRES at most, fitted on a bounded sample (at most about `sample`
+    numbers over all lengths). Lengths that the sample does not have are not in it."""
+    share = hash_fraction(F.col("node"), F.lit("centre"))
+    total = nodes.agg(F.sum(F.size("v"))).first()[0] or 1
+    few = min(1.0, sample / total, 32 * CENTRES / n)
+    got = nodes.filter(share < few).orderBy("node").limit(2 * sample).select("v").collect()
+    of: dict[int, list] = {}
+    for r in got:
+        of.setdefault(len(r.v), []).append(unit(r.v))
+    return {size: _cluster(np.array(vs, dtype=np.float32), max(1, min(CENTRES, round(len(vs) / few / SHARD)))) for size, vs in of.items()}
+
+
+def _dealt(nodes: DataFrame, centres: dict[int, np.ndarray], spread: int) -> DataFrame:
+    """(node, copies, v, shard) of each node's nearest centres; a shard is a length of vector and a centre."""
+    kind = nodes.schema["v"].dataType.simpleString()
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                sims = _stack(pdf.u) @ centres.T
-                order = np.argsort(-sims, axis=1, kind="stable")[:, :probes]
-                r = order.shape[1]
-                yield pd.DataFrame({"node": np.repeat(pdf.node.to_numpy(), r), "u": [v for v in pdf.u for _ in range(r)], "shard": order.reshape(-1), "rank": np.tile(np.arange(r), len(pdf))})
-
-    return nodes.mapInPandas(deal, "node long, u array<double>, shard int, rank int")
+            for size, part in pdf.groupby(pdf.v.map(len)):
+                c = centres.get(size)
+                near = np.zeros((len(part), 1), dtype=np.int64) if c is None else np.argsort(-(_units(part.v) @ c.T), axis=1, kind="stable")[:, :spread]
+                r = near.shape[1]
+                yield pd.DataFrame({"node": np.repeat(part.node.to_numpy(), r), "copies": np.repeat(part.copies.to_numpy(), r), "v": [v for v in part.v for _ in range(r)], "shard": near.reshape(-1) + (size << 32)})
+
+    return nodes.mapInPandas(deal, f"node long, copies long, v {kind}, shard long")
+
+
+def _dealt_again(dealt: DataFrame, spread: int, chunk: int = 20_000) -> DataFrame:
+    """The nodes of shards that are large for one level of centres are dealt around centres of the shard, a bounded number
+    fitted on a bounded sample of it; such a shard is named by the old one's number and the new centre's."""
+    most = 4 * spread * CELL
+    sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    if sizes.isEmpty():
+        return dealt
+    sizes = materialize(sizes)
+    kind = dealt.schema["v"].dataType.simpleString()
+    large = dealt.join(F.broadcast(sizes), "shard")  # a row a centre of the first level at most
+    sample = large.filter(hash_fraction(F.col("node"), F.lit("again")) < F.least(F.lit(1.0), F.lit(32.0 * CENTRES) / F.col("n")))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        c = _cluster(_units(pdf.v), max(1, min(CENTRES, round(spread * pdf.n.iloc[0] / SHARD / 2))))
+        return pd.DataFrame({"shard": pdf.shard.iloc[0], "c": [v.astype(float) for v in c]})
+
+    fitted = materialize(sample.groupBy("shard").applyInPandas(fit, "shard long, c array<double>"))
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    rows = large.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), parts))
+    centres = fitted.join(F.broadcast(sizes), "shard").select("shard", "c", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("part"))
+
+    def deal(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(own):
+            return pd.DataFrame({"node": [], "copies": [], "v": [], "shard": []})
+        c = np.stack(sorted(own.c.to_list(), key=lambda v: v.tolist())).astype(np.float32)
+        near = np.argsort(-(_units(pdf.v) @ c.T), axis=1, kind="stable")[:, :spread]
+        r = near.shape[1]
+        return pd.DataFrame({"node": np.repeat(pdf.node.to_numpy(), r), "copies": np.repeat(pdf.copies.to_numpy(), r), "v": [v for v in pdf.v for _ in range(r)], "shard": pdf.shard.iloc[0] + ((near.reshape(-1) + 1) << 12)})
+
+    again = rows.groupBy("shard", "part").cogroup(centres.groupBy("shard", "part")).applyInPandas(deal, f"node long, copies long, v {kind}, shard long")
+    return dealt.join(F.broadcast(sizes.select("shard")), "shard", "left_anti").select(*dealt.columns).unionByName(again)
 
 
 def build_graph(members: DataFrame) -> DataFrame:
-    """(node, links): for members (shard, salt, node, u), the united adjacency lists of all shards."""
+    """(node, links): for members (shard, salt, node, v), the united adjacency lists of all shards."""
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf.node.to_numpy()
-        links = prune(_stack(pdf.u), int(ids.min() % (1 << 31)))
-        a = np.repeat(ids, [len(c) for c in links])
-        b = ids[np.concatenate(links)] if len(a) else np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"a": np.concatenate([a, b]), "b": np.concatenate([b, a])})
-
-    edges = members.groupBy("shard", "salt").applyInPandas(grow, "a long, b long")
-    return edges.groupBy("a").agg(F.collect_set("b").alias("links")).withColumnRenamed("a", "node")
-
-
-def near_pairs(nodes: DataFrame, dim: int, low: float = 0.9, aim: float = 0.95) -> tuple[DataFrame, DataFrame, float]:
-    """Pairs (a, b) of nodes (node, u) with cosine >= low, a < b; fewer edges that join the same nodes; audited recall."""
+        links = prune(_units(pdf.v), int(ids.min() % (1 << 31)))
+        return pd.DataFrame({"node": ids, "out": [ids[c] for c in links]})
+
+    lists = members.groupBy("shard", "salt").applyInPandas(grow, "node long, out array<long>")
+    return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("out"))).alias("links"))
+
+
+def _found(x: np.ndarray, ids: np.ndarray, lists: list[np.ndarray], low: float) -> np.ndarray:
+    """Pairs of rows that the search finds, as a symmetric matrix, along the given lists taken both ways."""
+    count = [len(v) for v in lists]
+    ends = np.concatenate(lists) if sum(count) else np.zeros(0, dtype=np.int64)
+    order = np.argsort(ids, kind="stable")
+    at = order[np.minimum(np.searchsorted(ids[order], ends), len(ids) - 1)]
+    here = ids[at] == ends  # the flat graph's edges to nodes of other shards lead out of this one
+    a, b = np.repeat(np.arange(len(ids)), count)[here], at[here]
+    key = np.unique(np.concatenate([a * len(ids) + b, b * len(ids) + a]))
+    starts = np.searchsorted(key, np.arange(len(ids) + 1) * len(ids))
+    near = np.zeros((len(x), len(x)), dtype=bool)
+    near[search(x, starts, key % len(ids), x, low)] = True
+    return near | near.T
+
+
+def _tally(v: list, ids: np.ndarray, copies: np.ndarray, salts: np.ndarray, near: np.ndarray | None, shards: np.ndarray | None, shard: int, low: float) -> pd.DataFrame:
+    """(a, n, b): the copies that each node a is verified to link with, and edges (b, a) of a forest of the links, with n 0.
+
+    near: pairs to verify, all where None; pairs within one of two pieces are another cell's, and pairs that a shard of a
+    lesser number holds too are that one's."""
+    x = np.stack(v)
+    m, across = len(ids), salts.min() != salts.max()
+    links, label = np.zeros(m, dtype=np.int64), np.arange(m)
+    rows_a, rows_b = [], []
+    for i in range(0, m, 256):
+        part = slice(i, min(m, i + 256))
+        hit = x[part] @ x.T >= low
+        if near is not None:
+            hit &= near[part]
+        hit[np.arange(part.stop - i), np.arange(i, part.stop)] = False
+        if across:
+            hit &= salts[part, None] != salts[None, :]
+        rows, cols = np.nonzero(hit)
+        if shards is not None and len(rows):
+            twice = np.zeros(len(rows), dtype=bool)
+            for k in range(shards.shape[1]):
+                mine = shards[rows + i, k]
+                lesser = (mine >= 0) & (mine < shard)
+                if lesser.any():
+                    twice[lesser] |= (shards[cols[lesser]] == mine[lesser, None]).any(axis=1)
+            rows, cols = rows[~twice], cols[~twice]
+        np.add.at(links, rows + i, copies[cols])
+        if len(rows):
+            low_end, far_end = forest(rows + i, cols)
+            rows_a.append(low_end)
+            rows_b.append(far_end)
+    some = np.flatnonzero(links)
+    out = [pd.DataFrame({"a": ids[some], "n": links[some], "b": ids[some]})]
+    if rows_a:
+        low_end, far_end = forest(np.concatenate(rows_a), np.concatenate(rows_b))
+        out.append(pd.DataFrame({"a": ids[far_end], "n": 0, "b": ids[low_end]}))
+    return pd.concat(out)
+
+
+def _cells(rows: DataFrame, rows_per_piece: int) -> DataFrame:
+    """rows (shard, ...) with salt, i and j: shards are cut into pieces, and each two pieces of a shard meet in a cell (i, j)."""
+    sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).select("shard", F.ceil(F.col("n") / rows_per_piece).cast("int").alias("pieces"))
+    sizes = materialize(sizes)
+    sizes = F.broadcast(sizes) if sizes.count() <= 200_000 else sizes
+    salted = rows.join(sizes, "shard").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    return salted.withColumn("o", other).withColumn("i", F.least("salt", "o")).withColumn("j", F.greatest("salt", "o")).drop("pieces")
+
+
+def _searched(nodes: DataFrame, centres: dict[int, np.ndarray], spread: int, low: float) -> DataFrame:
+    """(a, n, b) as in _tally, over all shards."""
+    dealt = materialize(_dealt_again(materialize(_dealt(nodes, centres, spread)), spread))
+    cells = _cells(dealt, CELL)
+    graph = build_graph(cells.filter("o = salt").select("shard", "salt", "node", "v"))
+    memory = materialize(graph.join(dealt.groupBy("node").agg(F.sort_array(F.collect_list("shard")).alias("shards")), "node"))
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = [unit(x) for x in pdf.v]
+        ids, n_shards = pdf.node.to_numpy(), max(map(len, pdf.shards))
+        shards = np.full((len(ids), n_shards), -1, dtype=np.int64)
+        for r, s in enumerate(pdf.shards):
+            shards[r, : len(s)] = s
+        near = _found(np.stack(v).astype(np.float32), ids, [np.asarray(x, dtype=np.int64) for x in pdf.links], low)
+        return _tally(v, ids, pdf.copies.to_numpy(), pdf.salt.to_numpy(), near, shards, int(pdf.shard.iloc[0]), low)
+
+    return materialize(cells.join(memory, "node").groupBy("shard", "i", "j").applyInPandas(find, "a long, n long, b long"))
+
+
+def _compared(nodes: DataFrame, low: float) -> DataFrame:
+    """(a, n, b) as in _tally by comparing all nodes of one length with each other, piece against piece: exact, in time that
+    grows with the square of their number."""
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _tally([unit(x) for x in pdf.v], pdf.node.to_numpy(), pdf.copies.to_numpy(), pdf.salt.to_numpy(), None, None, 0, low)
+
+    cells = _cells(nodes.withColumn("shard", F.size("v").cast("long")), 2 * CELL)
+    return materialize(cells.groupBy("shard", "i", "j").applyInPandas(find, "a long, n long, b long"))
+
+
+def links_of(nodes: DataFrame, low: float = 0.9, aim: float = 0.95) -> tuple[DataFrame, float | None]:
+    """For nodes (node, copies, v): rows (a, n, b), n parts of the number of other vectors that a links with, and forest
+    edges (a, b) where n is 0; and the audited recall, None where no node of the audit has a link."""
     n = nodes.count()
-    centres = _centres(nodes, n, dim)
-    probes = min(len(centres), 3)
+    if not n:
+        return nodes.select(F.col("node").alias("a"), F.col("copies").alias("n"), F.col("node").alias("b")), None
+    truth = audited(nodes, n, low)
+    centres = _centres(nodes, n)
+    for spread in SPREADS:
+        found = _searched(nodes, centres, spread, low)
+        sure, seen = recall(truth, found)
+        if sure is None or sure >= aim:
+            return found, seen
+    return _compared(nodes, low), 1.0 if truth else None
+
+
+def audited(nodes: DataFrame, n: int, low: float, queries: int = 512, most: int = 8192, enough: int = 64) -> dict[int, int]:
+    """node -> the number of others that it links with, for nodes chosen by a hash that have any, compared with all nodes.
+
+    More nodes are asked for, `most` at most, until `enough` of them have links."""
+    width = max(1, nodes.agg(F.max(F.size("v"))).first()[0])
+    most = max(queries, min(most, (1 << 22) // width))
     while True:
-        dealt = materialize(_dealt(nodes, centres, probes))
-        sizes = dealt.groupBy("shard").agg(F.sum((F.col("rank") < 2).cast("int")).alias("members"), F.count(F.lit(1)).alias("queries"))
-        cuts = F.broadcast(sizes.select("shard", F.ceil(F.col("members") / CELL).cast("int").alias("rows"), F.ceil(F.col("queries") / (2 * CELL)).cast("int").alias("cols")))  # one row a centre
-        placed = dealt.join(cuts, "shard").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("cols")).cast("int"))
-        graph = materialize(build_graph(placed.filter("rank < 2").select("shard", "salt", "node", "u")))
-        member = placed.filter("rank < 2").join(graph, "node", "left").select("shard", "salt", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("part"), "node", "u", "links", F.lit(True).alias("member"))
-        asked = placed.select("shard", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("salt"), "part", "node", "u", F.lit(None).cast("array<long>").alias("links"), F.lit(False).alias("member"))
-
-        def find(pdf: pd.DataFrame) -> pd.DataFrame:
-            own, ask = pdf[pdf.member], pdf[~pdf.member]
-            if not len(own) or not len(ask):
-                return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "tree": np.zeros(0, bool)})
-            order = np.argsort(own.node.to_numpy(), kind="stable")
-            ids = own.node.to_numpy()[order]
-            exact, theirs = _stack(own.u, np.float64)[order], _stack(ask.u, np.float64)
-            lists = [np.asarray([] if v is None else v, dtype=np.int64) for v in own.links.to_numpy()[order]]
-            count = [len(v) for v in lists]
-            ends = np.concatenate(lists) if sum(count) else np.zeros(0, dtype=np.int64)
-            at = np.minimum(np.searchsorted(ids, ends), len(ids) - 1)
-            here = ids[at] == ends  # edges of the flat graph to nodes of other shards lead out of this cell
-            of = np.repeat(np.arange(len(ids)), count)[here]
-            starts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(ids)))])
-            qs, rows = search(exact.astype(np.float32), starts, at[here], theirs.astype(np.float32), low)
-            q_ids = ask.node.to_numpy()
-            keep = q_ids[qs] != ids[rows]
-            qs, rows = qs[keep], rows[keep]
-            sure = np.concatenate([np.zeros(0, dtype=bool), *[np.einsum("ij,ij->i", theirs[qs[i : i + (1 << 16)]], exact[rows[i : i + (1 << 16)]]) >= low for i in range(0, len(qs), 1 << 16)]]).astype(bool)
-            a, b = q_ids[qs[sure]], ids[rows[sure]]
-            pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "tree": False}).drop_duplicates()
-            low_end, far_end = forest(pairs.a.to_numpy(), pairs.b.to_numpy())
-            return pd.concat([pairs, pd.DataFrame({"a": low_end, "b": far_end, "tree": True})])
-
-        found = materialize(member.unionByName(asked).groupBy("shard", "salt", "part").applyInPandas(find, "a long, b long, tree boolean").distinct())
-        pairs, edges = found.filter("NOT tree").select("a", "b"), found.filter("tree").select("a", "b")
-        recall = audit(nodes, pairs, n, low)
-        if recall >= aim or probes >= len(centres):
-            return pairs, edges, recall
-        probes = min(len(centres), 4 * probes)
-
-
-def audit(nodes: DataFrame, pairs: DataFrame, n: int, low: float, queries: int = 256) -> float:
-    """Share of the true links of about `queries` nodes, chosen by a hash and compared with all nodes, that pairs has."""
-    got = nodes.filter(hash_fraction(F.col("node"), F.lit("audit")) < min(1.0, queries / n)).orderBy("node").limit(4 * queries).collect()
-    if not got:
-        return 1.0
-    ids, x = np.array([r.node for r in got]), np.array([r.u for r in got])
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                other = pdf.node.to_numpy()
-                rows, cols = np.nonzero(_stack(pdf.u, np.float64) @ x.T >= low)
-                a, b = other[rows], ids[cols]
-                keep = a != b
-                yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
-
-    true = nodes.mapInPandas(compare, "a long, b long").distinct()
-    seen = true.join(pairs.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hit")).first()
-    return seen.hit / seen.n if seen.n else 1.0
+        got = nodes.filter(hash_fraction(F.col("node"), F.lit("audit")) < min(1.0, queries / n)).orderBy("node").limit(2 * queries).select("node", "v").collect()
+        by_size: dict[int, list] = {}
+        for r in got:
+            by_size.setdefault(len(r.v), []).append(r)
+        asked = {size: (np.array([r.node for r in rs]), np.stack([unit(r.v) for r in rs])) for size, rs in by_size.items()}
+
+        def compare(batches: Iterator[pd.DataFrame], asked=asked) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for size, part in pdf.groupby(pdf.v.map(len)):
+                    if size in asked:
+                        ids, x = asked[size]
+                        other, u, weight = part.node.to_numpy(), _units(part.v, np.float64), part.copies.to_numpy()
+                        total = np.zeros(len(ids), dtype=np.int64)
+                        for i in range(0, len(u), 256):
+                            hit = (u[i : i + 256] @ x.T >= low) & (other[i : i + 256, None] != ids[None, :])
+                            total += weight[i : i + 256] @ hit
+                        yield pd.DataFrame({"node": ids, "n": total})[total > 0]
+
+        true = nodes.mapInPandas(compare, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()
+        if len(true) >= enough or queries >= min(n, most):
+            return {r.node: r.n for r in true}
+        queries = min(most, 4 * queries)
+
+
+def recall(truth: dict[int, int], found: DataFrame) -> tuple[float | None, float | None]:
+    """The least lower bound (one-sided, 95 %) and mean of the audited nodes' shares of links found, over nodes of one link,
+    of two to nine and of more, where there are enough of them to tell; None where no audited node has a link."""
+    if not truth:
+        return None, None
+    ids = found.sparkSession.createDataFrame([(i,) for i in truth], "a long")
+    seen = {r.a: r.n for r in found.join(F.broadcast(ids), "a", "left_semi").groupBy("a").agg(F.sum("n").alias("n")).collect()}
+    strata: dict[int, list[float]] = {}
+    for i, n in truth.items():
+        strata.setdefault(0 if n == 1 else 1 if n < 10 else 2, []).append(seen.get(i, 0) / n)
+    told = [np.array(s) for s in strata.values() if len(s) >= 30] or [np.array([x for s in strata.values() for x in s])]
+    bounds = [(float(s.mean() - 1.645 * s.std() / np.sqrt(len(s))), float(s.mean())) for s in told]
+    return min(b for b, _ in bounds), min(m for _, m in bounds)
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", low: float = 0.9) -> DataFrame:
@@ -249,34 +388,29 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     Null, empty and zero vectors and those with null or non-finite components link with nothing, and so do vectors of
     different lengths. Equal vectors link with each other. Rows repeated with one id count as vectors of their own, and
     each is kept if the id is its component's smallest. A null id is smallest only where its component has no other.
+    audit_recall is null where no audited vector has a link. An empty table gives an empty one; other columns are not read.
     """
 
-    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind, array = vectors.schema[id_col].dataType.simpleString(), vectors.schema[vector_col].dataType.simpleString()
+
+    def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"vec_id": pdf.vec_id, "u": [unit(v) for v in pdf.v]})
-
-    kind = vectors.schema[id_col].dataType.simpleString()
-    rows = materialize(vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")).mapInPandas(units, f"vec_id {kind}, u array<double>"))
-    nodes = materialize(rows.filter("u IS NOT NULL").groupBy("u").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
-    lengths = sorted(r.n for r in nodes.select(F.size("u").alias("n")).distinct().collect())
-    pairs, edges, recall = None, None, 1.0
-    for length in lengths:
-        found, tree, seen = near_pairs(nodes.filter(F.size("u") == length).select("node", "u"), length, low)
-        pairs, edges, recall = (found, tree, seen) if pairs is None else (pairs.unionByName(found), edges.unionByName(tree), min(recall, seen))
-    if pairs is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audit_recall"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # a neighbour counts once, and its copies besides; few nodes have copies, so pairs are not joined with all nodes
-    several = nodes.filter("copies > 1").select(F.col("node").alias("b"), (F.col("copies") - 1).alias("others"))
-    counted = both.groupBy("a").agg(F.count(F.lit(1)).alias("others")).unionByName(both.join(several, "b").groupBy("a").agg(F.sum("others").alias("others")))
-    links = counted.groupBy("a").agg(F.sum("others").alias("others")).withColumnRenamed("a", "node")
-    of = components(edges).withColumnRenamed("id", "node")
+            yield pd.DataFrame({"vec_id": pdf.vec_id, "v": [None if unit(v) is None else v for v in pdf.v]})
+
+    rows = materialize(vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")).mapInPandas(checked, f"vec_id {kind}, v {array}"))
+    valid, invalid = rows.filter("v IS NOT NULL"), rows.filter("v IS NULL")
+    # numbers of nodes are fixed by being written
+    nodes = materialize(valid.groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
+    found, seen = links_of(nodes.select("node", "copies", "v"), low)
+    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    of = components(found.filter("a <> b").select("a", "b")).withColumnRenamed("id", "node")
     placed = nodes.join(of, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = materialize(placed.join(lowest, "component").select("u", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id"))
-    joined = rows.join(known, "u", "left")
-    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"), F.lit(recall).alias("audit_recall"))
+    known = materialize(placed.join(lowest, "component").select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id"))
+    told = F.lit(seen).cast("double").alias("audit_recall")
+    linked = valid.join(known, "v").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), told)
+    alone = invalid.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), told)
+    return linked.unionByName(alone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
