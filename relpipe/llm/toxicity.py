@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, columns, learn_bucket, materialize, release_memory, table, unique_name
+from .common import columns, labelled_sample, learn_bucket, materialize, release_memory, table, unique_name
 
 STEM = 4
 #: Numbers of occurrences from which on a stem gives another term.
@@ -153,17 +153,16 @@ def _calibrate(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, floa
     return max(0.05, float(b[0])), float(b[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2500, most_terms: int = 4096, k: int = 15) -> Model:
-    """Learns from the texts of labelled documents; about `per_class` examples of each label, chosen by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2500, k: int = 15) -> Model:
+    """Learns from the texts of labelled documents; at most `per_class` ids of each label, chosen by a hash of the id.
 
-    Without labels of both kinds every text gets the base rate (1/2 without labels)."""
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
-    sizes = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    Without labels of both kinds every text gets the base rate (1/2 without labels). Repeated ids count once a label, null
+    ids and labels not at all. What is collected is the sample's terms that stand out and its vectors over them, whose
+    number the sample bounds."""
+    sample, sizes = labelled_sample(docs, labels, label, per_class)
     base = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
     if len(sizes) < 2:
         return Model(base)
-    few = F.broadcast(bounded_sample(known, "label", per_class, "doc_id"))  # 2 * per_class rows, about
-    sample = materialize(docs.select("doc_id", "text").join(few, "doc_id"))
     counts = {int(r.label): r["count"] for r in sample.groupBy("label").count().collect()}
     if len(counts) < 2:
         return Model(base)
@@ -176,13 +175,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
     seen = sample.select("label", "text").mapInPandas(explode, "term string, label int")
     n1, n0 = counts[1], counts[0]
-    per_term = seen.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).filter(F.col("a") + F.col("b") >= 4)
+    per_term = seen.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     n = F.lit(float(n1 + n0))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) / (F.lit(float(n1) * float(n0)) * (a + b) * (n - a - b + 1e-9))
     rated = materialize(per_term.select("term", (a + b).alias("df"), chi2.alias("chi2")))
-    enough = 2 * math.log(100 * max(1, rated.count()))  # chance terms reach this with odds of about 1 in 100 over all of them
-    chosen = rated.filter(F.col("chi2") > enough).orderBy(F.desc("chi2"), "term").limit(most_terms).collect()
+    # chance terms reach this with odds of about 1 in 100 over all that occur often enough to
+    enough = 2 * math.log(100 * max(1, rated.filter("df >= 4").count()))
+    chosen = rated.filter(F.col("chi2") > enough).collect()
     vocabulary = {r.term: i for i, r in enumerate(sorted(chosen, key=lambda r: r.term))}
     df = {r.term: r.df for r in chosen}
     model = Model(base, vocabulary, np.array([math.log(1 + (n1 + n0) / df[t]) for t in vocabulary]), k=k)
@@ -211,8 +211,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", evidence: int = 3) -> DataFrame:
     """docs with score (the probability that the toxic label is 1) and evidence: the nearest examples' ids, labels and
-    cosines. Null, empty and term-less texts have no evidence and score by the base rate; repeated rows score alike;
-    columns of docs with the results' names are replaced."""
+    cosines. Null, empty and term-less texts have no evidence and score by the base rate; texts of any length are read
+    whole; of examples equally near the one first in the index counts; repeated rows score alike; columns of docs with the
+    results' names are replaced; an empty table gives an empty one."""
 
     @F.pandas_udf("score double, evidence array<struct<doc_id:string,toxic:int,cosine:double>>")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

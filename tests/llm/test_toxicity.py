@@ -1,7 +1,11 @@
+import math
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from relpipe.llm import toxicity as tox
+from relpipe.llm.common import learn_bucket
 
 from .support import documents, odd_texts, words
 
@@ -75,6 +79,41 @@ def test_odd_texts_and_missing_labels(spark):
     assert tox.score_toxicity(odd.limit(0), tox.fit(docs, labels)).count() == 0
 
 
+def test_query_equals_brute_force(spark):
+    """Scores from all cosines, without index, stems' numbers or shortcuts; only the choice of terms and the two numbers of
+    the calibration are the model's."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter(learn_bucket(F.col("doc_id"), 3) != 1)
+    model = tox.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def vector(text):
+        v = {t: (1 + math.log(n)) * model.idf[model.vocabulary[t]] for t, n in tox.terms(text).items() if t in model.vocabulary and model.idf[model.vocabulary[t]]}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {t: w / norm for t, w in v.items()} if norm else {}
+
+    examples = [(vector(texts[i]), bool(y), w) for i, y, w in zip(model.ids, model.toxic, model.weight, strict=True)]
+    rows = tox.query(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows[:: max(1, len(rows) // 400)]:
+        v = vector(texts[r.doc_id])
+        cosines = sorted(((sum(w * e.get(t, 0.0) for t, w in v.items()), -i) for i, (e, _, _) in enumerate(examples)), reverse=True)[: model.k]
+        votes = [0.05 * (1 - model.base), 0.05 * model.base]
+        for c, i in cosines:
+            if c > 0:
+                votes[examples[-i][1]] += c**6 * examples[-i][2]
+        z = model.slope * math.log(votes[1] / votes[0]) + model.shift
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-6, r.doc_id
+
+
+def test_repeated_ids_of_documents_and_labels(spark):
+    docs, labels = corpus(spark, 80)
+    model = tox.fit(docs, labels)
+    again = tox.fit(docs.unionByName(docs), labels.unionByName(labels).unionByName(labels))
+    assert again.vocabulary == model.vocabulary and again.ids == model.ids and again.base == model.base
+
+
 def test_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     rows = tox.query(spark, sf).collect()
