@@ -20,11 +20,13 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import columns, release_memory, table, unique_name
+from .common import columns, release_memory, table
 
 #: The split pattern of byte-level BPE (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,6 +45,8 @@ NEWER = (
 PIECES, PAIRS = 200_000, 300_000
 #: Longer pieces, in characters, are not remembered, so that the memory is bounded in bytes too.
 LONG = 64
+#: Texts whose ids are held at a time.
+ROWS = 256
 
 
 def byte_chars() -> dict[str, int]:
@@ -229,32 +233,25 @@ def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str =
     return rows.withColumn(text_col, decoded(F.col(ids_col)))
 
 
-def _digests(path: str, keep: bool):
-    """A pandas UDF of texts: number of tokens, digests of the ids and of the text decoded from them, and the ids if kept."""
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep else [])]
+def bpe_digest(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """docs' doc_id with n_tokens and digests of the ids and of the text decoded from those ids; ids never leave the task.
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep else ""))
+    Null texts count as empty: no tokens, and the digests of no bytes. Repeated rows give repeated rows. Other columns
+    are not read.
+    """
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for batch in texts:
             rows = []
             for t in batch:
                 ids = c.encode(t)
-                row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids).encode("utf-8", "replace")).hexdigest())
-                rows.append((*row, np.frombuffer(ids, "<i4")) if keep else row)
-            yield pd.DataFrame(rows, columns=names, index=batch.index)
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids).encode("utf-8", "replace")).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=batch.index)
         c.forget()
 
-    return digest
-
-
-def bpe_digest(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """docs' doc_id with n_tokens and digests of the ids and of the text decoded from those ids; ids never leave the task.
-
-    Null texts count as empty: no tokens, and the digests of no bytes. Repeated rows give repeated rows. Other columns
-    are not read.
-    """
-    return docs.select("doc_id", _digests(path, False)(F.col(text_col)).alias("d")).select("doc_id", "d.*")
+    return docs.select("doc_id", digest(F.col(text_col)).alias("d")).select("doc_id", "d.*")
 
 
 def bpe_tokens(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -263,10 +260,27 @@ def bpe_tokens(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     Null and empty texts have no ids. Texts of any length are encoded whole; repeated rows give repeated rows; columns of
     docs with the results' names are replaced, all others pass through; an empty table gives an empty one.
     """
-    out = unique_name(docs, "tokens")
-    new = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
-    found = docs.withColumn(out, _digests(path, True)(F.col(text_col)))
-    return found.select(*columns(docs, new), *[F.col(out)[c].alias(c) for c in new])
+    new = "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    kept = docs.select(*columns(docs, ("ids", "n_tokens", "ids_sha256", "decoded_sha256")))
+    n = len(kept.columns)
+    if text_col not in kept.columns:  # it has the name of a result, and goes behind the columns that stay
+        kept = docs.select(*columns(docs, ("ids", "n_tokens", "ids_sha256", "decoded_sha256")), F.col(text_col))
+    at = kept.columns.index(text_col)
+    schema = StructType([*kept.schema.fields[:n], *StructType.fromDDL(new).fields])
+
+    def encode(batches: Iterator[pyarrow.RecordBatch]) -> Iterator[pyarrow.RecordBatch]:
+        c = codec(path)
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                ids = [c.encode(t) for t in part.columns[at].to_pylist()]
+                ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
+                lists = pyarrow.ListArray.from_arrays(pyarrow.array(ends, pyarrow.int32()), pyarrow.array(np.frombuffer(b"".join(ids), "<i4")))
+                digests = [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(c.decode(x).encode("utf-8", "replace")).hexdigest() for x in ids]
+                yield pyarrow.RecordBatch.from_arrays([*part.columns[:n], lists, pyarrow.array(np.diff(ends)), *map(pyarrow.array, digests)], names=schema.names)
+        c.forget()
+
+    return kept.mapInArrow(encode, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
