@@ -1,9 +1,9 @@
 """Exact byte-pair encoding by dynamic programming over prefixes, and decoding.
 
 BPE gives each prefix of a piece one encoding, so the last token of a prefix is unique. It is the one token t that ends
-there such that t may follow the last token u of the prefix before t: BPE of the two tokens' bytes is again (u, t). An
-automaton finds the vocabulary's tokens ending at each position; the pair test undoes merges on both sides of the cut
-and asks whether BPE would have merged across it first. Back-pointers from the end give the ids.
+there such that t may follow the last token u of the prefix before t: BPE of the two tokens' bytes is again (u, t). A
+suffix automaton of the vocabulary finds the tokens ending at each position; the pair test undoes merges on both sides of
+the cut and asks whether BPE would have merged across it first. Back-pointers from the end give the ids.
 
 A text is first cut at the vocabulary's added tokens and then, by the tokenizer's own pattern, into pieces; each distinct
 piece is encoded once per task, within a bounded memory of pieces.
@@ -17,7 +17,6 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow
@@ -85,6 +84,78 @@ class Pieces(dict):
         return found
 
 
+class SuffixAutomaton:
+    """All substrings of a set of words, to find the words that end at each place of a text.
+
+    The words are added as a trie, level by level. State 0 is the empty string; `step` has the transitions, `link` the
+    state of the longest suffix that is another state's, `size` the length of a state's longest string. No word reaches
+    beyond its own end, so each word is the longest string of its state.
+    """
+
+    def __init__(self, words: dict[bytes, int]):
+        self.step: list[dict[int, int]] = [{}]
+        self.link, self.size = [-1], [0]
+        state_of = self._add_all(words)
+        #: The words that are suffixes of a state's longest string, longest first, as (length, id).
+        self.words: list[tuple[tuple[int, int], ...]] = [()] * len(self.size)
+        word_at = {state_of[w]: (len(w), i) for w, i in words.items()}
+        for s in sorted(range(1, len(self.size)), key=self.size.__getitem__):
+            shorter = self.words[self.link[s]]
+            self.words[s] = (word_at[s], *shorter) if s in word_at else shorter
+
+    def _add_all(self, words: dict[bytes, int]) -> dict[bytes, int]:
+        """The state of each word. A level's prefixes are added after those of the level before, so that a link is there
+        before it is needed; a state that was cloned later still holds its own longest string."""
+        state_of, level = {b"": 0}, sorted(w for w in words if w)
+        for n in range(1, max(map(len, level), default=0) + 1):
+            level = [w for w in level if len(w) >= n]
+            for prefix in dict.fromkeys(w[:n] for w in level):
+                state_of[prefix] = self._add(state_of[prefix[:-1]], prefix[-1])
+        return state_of
+
+    def _state(self, size: int, step: dict[int, int], link: int) -> int:
+        self.size.append(size)
+        self.step.append(step)
+        self.link.append(link)
+        return len(self.size) - 1
+
+    def _split(self, p: int, c: int) -> int:
+        """The state of p's longest string and c, parted from longer strings of its state if there are any."""
+        step, q = self.step, self.step[p][c]
+        if self.size[q] == self.size[p] + 1:
+            return q
+        clone = self._state(self.size[p] + 1, dict(step[q]), self.link[q])
+        self.link[q] = clone
+        while p >= 0 and step[p].get(c) == q:
+            step[p][c] = clone
+            p = self.link[p]
+        return clone
+
+    def _add(self, p: int, c: int) -> int:
+        """The state of the longest string of p and c."""
+        if c in self.step[p]:
+            return self._split(p, c)
+        new = self._state(self.size[p] + 1, {}, 0)
+        while p >= 0 and c not in self.step[p]:
+            self.step[p][c] = new
+            p = self.link[p]
+        if p >= 0:
+            self.link[new] = self._split(p, c)
+        return new
+
+    def ends(self, text: bytes) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+        """Each end of a prefix of the text with the words that end there, longest first."""
+        step, link, size, words = self.step, self.link, self.size, self.words
+        state = matched = 0
+        for end, c in enumerate(text, 1):
+            while (to := step[state].get(c)) is None and state:
+                state = link[state]
+                matched = size[state]
+            if to is not None:
+                state, matched = to, matched + 1
+            yield end, words[state if matched == size[state] else link[state]]
+
+
 class Codec:
     """A byte-level BPE vocabulary in the tokenizers library's JSON format."""
 
@@ -116,11 +187,8 @@ class Codec:
         self.usual = regex.compile(PATTERN).findall
         symbols = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{newer}]]")
         self.exact = regex.compile("(?V1)" + symbols.replace(r" ?\p{L}", rf" ?[\p{{L}}--[{newer}]]").replace(r" ?\p{N}", rf" ?[\p{{N}}--[{newer}]]")).findall
-        self.ends = ahocorasick.Automaton()
-        for b, i in id_of.items():
-            self.ends.add_word(b.decode("latin-1"), (len(b), i))
-        self.ends.make_automaton()
-        self.whole = {b.decode("latin-1"): i for b, i in id_of.items()}
+        self.automaton = SuffixAutomaton(id_of)
+        self.single = {b: i for b, i in id_of.items() if len(b) == 1}
         self.pairs, self.pieces = Pairs(self), Pieces(self)
 
     def compatible(self, u: int, t: int) -> bool:
@@ -149,22 +217,19 @@ class Codec:
         return self.exact(text) if not text.isascii() and self.newer(text) else self.usual(text)
 
     def encode_piece(self, piece: str) -> list[int]:
-        text = piece.encode("utf-8", "replace").decode("latin-1")
-        if (single := self.whole.get(text)) is not None and len(text) <= 2:
+        text = piece.encode("utf-8", "replace")
+        if (single := self.single.get(text)) is not None:
             return [single]
         size, pairs = len(text), self.pairs
         last, back = [0] * (size + 1), [0] * (size + 1)
-        done = 0
-        for end, (n, t) in self.ends.iter(text):
-            end += 1
-            if done == end:
-                continue
-            start = end - n
-            if start == 0 or (done >= start and pairs[last[start] << 32 | t]):
-                if start == 0 or last[start] >= 0:
-                    last[end], back[end], done = t, start, end
-        if done != size:
-            raise ValueError("the vocabulary does not cover all bytes")
+        for end, tokens in self.automaton.ends(text):
+            for n, t in tokens:
+                start = end - n
+                if start == 0 or pairs[last[start] << 32 | t]:
+                    last[end], back[end] = t, start
+                    break
+            else:
+                raise ValueError("the vocabulary does not cover all bytes")
         out = []
         while size:
             out.append(last[size])

@@ -30,6 +30,17 @@ def test_encoding_and_decoding_equal_the_library(library):
         assert codec.decode(codec.encode(text)) == library.decode(wanted, skip_special_tokens=False)
 
 
+def test_the_automaton_finds_all_words_that_end_at_each_place():
+    rng = random.Random(7)
+    for letters in (b"ab", b"abc", bytes(range(256))):
+        for _ in range(40):
+            words = {bytes(rng.choice(letters) for _ in range(rng.randint(1, 6))): i for i in range(rng.randint(0, 30))}
+            automaton = bpe.SuffixAutomaton(words)
+            text = bytes(rng.choice(letters + b"z") for _ in range(80))
+            for end, found in automaton.ends(text):
+                assert list(found) == sorted(((len(w), i) for w, i in words.items() if text[:end].endswith(w)), reverse=True)
+
+
 def test_every_letter_class_is_cut_as_the_library_cuts(library):
     codec = bpe.codec(bpe.default_path())
     for c in [*range(0x250, 0x30000, 7), *range(0x32300, 0x33500, 11)]:
