@@ -181,16 +181,20 @@ def keep_one_of_each(docs: DataFrame, max_distance: int = 4) -> DataFrame:
     """
     fp, single = unique_name(docs, "fp"), unique_name(docs, "id")
     found = materialize(_rows_by_component(docs, "doc_id", "text", max_distance))
-    lead = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", "doc_id").agg(F.min("fp").alias("fp"))
-    sizes = found.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    marks = materialize(lead.join(sizes, lead.doc_id.eqNullSafe(sizes.id)).select(F.col("doc_id").alias(single), F.col("fp").alias(fp), "n"))
+    leads = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = found.groupBy(F.col("doc_id").alias(single)).agg(F.count(F.lit(1)).alias("n"), F.max(leads).alias("leads"))
+    # mostly fewer ids go than stay, so the texts meet those that go; repeated ids are taken apart below
+    gone = materialize(ids.filter((F.col("n") > 1) | ~F.col("leads")))
     same = docs["doc_id"].eqNullSafe(F.col(single))
-    once = docs.join(marks.filter("n = 1").select(single), same).select(*columns(docs))
+    once = docs.join(gone.select(single), same, "left_anti").select(*columns(docs))
+    several = gone.filter((F.col("n") > 1) & F.col("leads")).select(single)
+    if several.isEmpty():
+        return once
     # rows that share an id are told apart by their fingerprints; the id alone would pair each of them with each group's mark
-    several = marks.filter("n > 1").select(single, fp)
-    repeated = docs.join(several.select(single).distinct(), same, "left_semi").withColumn(fp, fingerprint_udf(F.col("text")))
-    leads = several.withColumnRenamed(fp, f"{fp}_lead")
-    repeated = repeated.join(leads, (F.col(fp) == F.col(f"{fp}_lead")) & repeated["doc_id"].eqNullSafe(F.col(single)))
+    marks = found.filter(leads).join(several, found["doc_id"].eqNullSafe(F.col(single)), "left_semi")
+    marks = marks.groupBy("component", F.col("doc_id").alias(single)).agg(F.min("fp").alias(f"{fp}_lead"))
+    repeated = docs.join(several, same, "left_semi").withColumn(fp, fingerprint_udf(F.col("text")))
+    repeated = repeated.join(marks.drop("component"), (F.col(fp) == F.col(f"{fp}_lead")) & repeated["doc_id"].eqNullSafe(F.col(single)))
     return once.unionByName(repeated.dropDuplicates(["doc_id", fp]).select(*columns(docs)))
 
 
